@@ -9,7 +9,11 @@ from ..operators.skew import skew_join
 from ..session import materialize
 from .chosenpath import SimilarSets, similar_sets
 from .contraction import connected_groups
+from .mixing import Mix, mix_sources
+from .packing import containers, pack
 from .sketch import combine, percentiles, sketch
+from .textforms import look_alike_classes, look_alike_pairs, normalized
+from .tokens import token_count
 
 ACCURACY = 0.01
 HALF_AND_NINTH = {"p50": 0.5, "p90": 0.9}
@@ -109,6 +113,79 @@ def p5_linked(spark: SparkSession, sf: str) -> DataFrame:
     return skew_join(members, per_rep, "rep").select(F.col("id").alias("cp"), F.col("rep").alias("class_cp"), "n_same", "n_links")
 
 
+# --- p6: filling containers ---
+
+CAPACITY = 8192
+
+
+def _sized(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    return _table(spark, sf, "documents").select("doc_id", *more, token_count("text").alias("n_tokens"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that the packing had to cut: longer than a container by themselves."""
+    return pack(_sized(spark, sf), "doc_id", "n_tokens", CAPACITY).where("n_pieces > 1 and piece = 0").select("doc_id")
+
+
+def p6_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    """The container of every document, or of every piece of it."""
+    return pack(_sized(spark, sf), "doc_id", "n_tokens", CAPACITY)
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How well the containers are filled: their number, the fewest there could be, and the mean and lowest fill."""
+    per = containers(p6_assignment(spark, sf), CAPACITY)
+    fewest = F.ceil(F.sum("filled") / CAPACITY).alias("fewest")
+    return per.agg(F.count(F.lit(1)).alias("n_containers"), fewest, F.avg("fill").alias("mean_fill"), F.min("fill").alias("min_fill"), F.max("filled").alias("max_filled"))
+
+
+# --- p7: mixing sources ---
+
+#: A curriculum: short notes fade out, reference works come in late. Only the shape over time counts.
+SCHEDULES = {"web-news": [(0.0, 1.4), (1.0, 0.6)], "forum-archive": [(0.0, 1.2), (0.5, 1.2), (1.0, 0.4)], "wiki-mirror": [(0.0, 0.4), (1.0, 1.6)], "code-docs": [(0.0, 0.0), (0.3, 1.0), (1.0, 1.0)]}
+
+
+def _mix(spark: SparkSession, sf: str) -> Mix:
+    return mix_sources(_sized(spark, sf, "source"), "doc_id", "source", "n_tokens", _table(spark, sf, "mix_targets"), SCHEDULES)
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources that can't reach their share in the passes they are allowed."""
+    return _mix(spark, sf).report.where("short").select("source")
+
+
+def p7_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The training order: every record drawn, with its pass and its time."""
+    return _mix(spark, sf).order
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mix(spark, sf).report
+
+
+# --- p8: texts that look the same ---
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of documents whose texts differ in code points but look the same."""
+    found = look_alike_pairs(_table(spark, sf, "documents"), "doc_id", "text")
+    return found.select(F.col("id_a").alias("doc_a"), F.col("id_b").alias("doc_b"))
+
+
+def p8_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document with a text: the first document that looks the same, how many do, and in how many spellings."""
+    forms = look_alike_classes(_table(spark, sf, "documents"), "doc_id", "text")
+    per = forms.groupBy("form_key", "spelling").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    per = per.groupBy("form_key").agg(F.min("low").alias("class_doc"), F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_spellings"))
+    return skew_join(forms.select("doc_id", "form_key"), per, "form_key").drop("form_key")
+
+
+def p8_full_form(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text in the full form: compatibility composition, full case folding, plain white space, nothing invisible."""
+    return _table(spark, sf, "documents").select("doc_id", normalized("text").alias("form"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_layer_day": p3_layer_day,
@@ -118,6 +195,15 @@ QUERIES = {
     "p4_group_sizes": p4_group_sizes,
     "p5_found": p5_found,
     "p5_linked": p5_linked,
+    "p6_found": p6_found,
+    "p6_assignment": p6_assignment,
+    "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_order": p7_order,
+    "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_classes": p8_classes,
+    "p8_full_form": p8_full_form,
 }
 
 _FT = "SELECT DISTINCT edge_id, layer, CAST(dtime_s AS DATE) AS day, ft_r FROM flow_edges WHERE ft_r >= 0 AND NOT isnan(ft_r)"
@@ -161,4 +247,10 @@ SQL = {
       SELECT z.cp, class_cp, n_same, CAST(coalesce((SELECT n_links FROM l WHERE l.cp = c.class_cp), 0)
         - (SELECT count(*) FROM p JOIN z q ON q.cp = p.cp_b WHERE p.cp_a = c.class_cp AND q.cells = c.cells AND q.cp IN (SELECT class_cp FROM c)) AS BIGINT) AS n_links
       FROM z JOIN c USING (cells)""",
+    # No text is near the capacity: one beyond it has over 20,000 characters, another far fewer than 8,192.
+    "p6_found": "SELECT doc_id FROM documents WHERE length(text) > 20000",
+    # No source is near its limit, so characters decide as tokens do.
+    "p7_found": """WITH d AS (SELECT lower(trim(source)) AS source, length(text) AS n FROM documents WHERE text IS NOT NULL)
+      SELECT t.source FROM mix_targets t LEFT JOIN d USING (source) GROUP BY t.source, target_share, max_repeats
+      HAVING coalesce(sum(n), 0) * max_repeats < target_share * (SELECT sum(n) FROM d)""",
 }
