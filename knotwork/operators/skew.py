@@ -171,3 +171,21 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", h
     spread = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     every = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return left.withColumn("__salt", spread).join(right.withColumn("__salt", F.explode(every)), [key, "__salt"], how).drop("__salt")
+
+
+#: A key with more rows on the right side of :func:`block_join` is split into blocks of about this size.
+BLOCK_ROWS = 4000
+
+
+def block_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Inner equi-join in which a crowded key is split: its right rows fall into blocks, its left rows visit each block.
+
+    So no task meets more than ``rows`` right rows of a key at a time, however many there are. Crowded keys are counted
+    first; there are at most 1/rows as many as right rows, and Spark decides by their size how to join them in.
+    """
+    keys = list(keys)
+    crowded = right.groupBy(*keys).count().where(F.col("count") > rows).select(*keys, F.ceil(F.col("count") / rows).alias("__parts"))
+    parts = F.coalesce(F.col("__parts"), F.lit(1).cast("bigint"))
+    visits = left.join(crowded, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("__parts")
+    spread = right.join(crowded, keys, "left").withColumn("__part", F.pmod(F.xxhash64(spread_by), parts)).drop("__parts")
+    return visits.join(spread, [*keys, "__part"]).drop("__part", *keys)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, haversine_km, unit_xyz, usable_position, wrap_lon
 from ..plans.positions import with_position
+from .skew import block_join
 from .triangulate import triangulate
 
 LEAF, FANOUT, TOP = 8, 32, 64
@@ -132,11 +133,7 @@ def near_pairs(points: DataFrame, point_id: str, lat: str, lon: str, km: float)
     ahead = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
     looks = F.explode(F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), (F.col("cz") + k).alias("cz"), F.lit((i, j, k) == (0, 0, 0)).alias("own")) for i, j, k in ahead]))
     left = at.select("id", "lat", "lon", looks.alias("c")).select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), "c.*")
-    crowded = at.groupBy(*key).count().where(F.col("count") > CELL_ROWS).select(*key, F.ceil(F.col("count") / CELL_ROWS).alias("__blocks"))
-    blocks = F.coalesce(F.col("__blocks"), F.lit(1))
-    left = left.join(crowded, key, "left").withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))).drop("__blocks")
-    right = at.join(crowded, key, "left").withColumn("__block", F.pmod(F.xxhash64("id"), blocks)).drop("__blocks")
     d = haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon"))
-    met = left.join(right, [*key, "__block"]).where((F.col("a_id") != F.col("id")) & (~F.col("own") | (F.col("a_id") < F.col("id"))))
+    met = block_join(left, at, key, "id", CELL_ROWS).where((F.col("a_id") != F.col("id")) & (~F.col("own") | (F.col("a_id") < F.col("id"))))
     met = met.withColumn("km", d).where(F.col("km") <= km)
     return met.select(F.least("a_id", "id").alias("left_id"), F.greatest("a_id", "id").alias("right_id"), "km")
