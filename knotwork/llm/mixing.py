@@ -28,7 +28,7 @@ def source_name(col: Column | str) -> Column:
 
 def _segments(knots: Sequence[tuple[float, float]]) -> list[tuple[float, float, float, float, float]]:
     """(t0, width, weight at both ends, integral before) of a piecewise linear weight, scaled to an integral of 1."""
-    knots = sorted(knots)
+    knots = sorted(knots, key=lambda k: k[0])  # two knots at one time make a step
     if len(knots) < 2 or knots[0][0] != 0 or knots[-1][0] != 1 or any(w < 0 for _, w in knots):
         raise ValueError("a schedule runs from time 0 to 1 with weights of at least 0")
     area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:]))

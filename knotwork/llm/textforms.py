@@ -56,7 +56,8 @@ def _visual_parts(ch: str) -> str | None:
     parts = unicodedata.normalize("NFKD", ch)
     if tag in _ALWAYS:
         return parts
-    if tag in _LETTERS and all(unicodedata.category(p)[0] in "LM" for p in parts) and not (len(parts) == 1 and ch == "ſ"):
+    letter = unicodedata.category(ch)[0] == "L" or unicodedata.category(ch) == "Nl"
+    if tag in _LETTERS and letter and ch != "ſ" and all(unicodedata.category(p)[0] in "LM" for p in parts):
         return parts
     return None
 
