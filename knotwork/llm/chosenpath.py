@@ -21,6 +21,8 @@ from ..session import discard, materialize
 #: Chosen tokens expected per record and node; nodes up to this size are compared directly; levels of splitting at most.
 BRANCHING, NODE_ROWS, MAX_DEPTH = 2.0, 64, 5
 _UNIT = float(1 << 53)
+#: Sets with more tokens get wide bits as well.
+LARGE = 64
 
 
 def trees_for(threshold: float, recall: float, branching: float = BRANCHING, depth: int = MAX_DEPTH) -> int:
@@ -65,6 +67,16 @@ def _bits(tokens: Column, word: int) -> Column:
     return F.aggregate(mine, F.lit(0).cast("bigint"), one)
 
 
+def _wide_bits(tokens: Column) -> Column:
+    """1,024 parity bits of a large set, as 16 words: 128 bits are all but random there. NULL for sets of at most ``LARGE`` tokens."""
+    word = lambda w: F.aggregate(
+        F.filter(tokens, lambda t: F.pmod(F.xxhash64(t, F.lit(11)), F.lit(16)) == w),
+        F.lit(0).cast("bigint"),
+        lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(t, F.lit(13)), F.lit(64)).cast("int"))),
+    )
+    return F.when(F.size(tokens) > LARGE, F.transform(F.sequence(F.lit(0), F.lit(15)), word))
+
+
 def _children(rows: DataFrame, branching: float) -> DataFrame:
     """The branches each (path, record) follows: one row per chosen token."""
     chosen = F.xxhash64("path", "t").bitwiseAND(F.lit((1 << 53) - 1)) / _UNIT < F.lit(branching) / F.col("len")
@@ -103,7 +115,7 @@ def similar_sets(
     sig = F.concat_ws("-", F.hex(F.xxhash64("toks")), F.hex(F.xxhash64("toks", F.lit(seed))), F.col("side").cast("string"))
     every = materialize(every.withColumn("sig", sig), "sets")
     reps = materialize(
-        every.groupBy("side", "sig", "toks").agg(F.min("id").alias("rid")).withColumn("len", F.size("toks")).withColumn("b0", _bits(F.col("toks"), 0)).withColumn("b1", _bits(F.col("toks"), 1)), "reps"
+        every.groupBy("side", "sig", "toks").agg(F.min("id").alias("rid")).withColumn("len", F.size("toks")).withColumn("b0", _bits(F.col("toks"), 0)).withColumn("b1", _bits(F.col("toks"), 1)).withColumn("wide", _wide_bits(F.col("toks"))), "reps"
     )
     members = skew_join(every.select("side", "id", "sig"), reps.select("sig", F.col("rid").alias("rep")), "sig").select("side", "id", "rep")
     if not two:
@@ -139,7 +151,14 @@ def similar_sets(
         fits = (F.least("len_a", "len_b") >= F.greatest("len_a", "len_b") * F.lit(threshold - 1e-9)) & ((both - apart) / 2 >= both * F.lit(need))
         return x.join(y, ["path", "blk"]).where(ordered & fits).select(c("rid_a").alias("a"), c("rid_b").alias("b"))
 
-    maybe = materialize(reduce(DataFrame.unionAll, [met(x) for x in leaves]).distinct(), "maybe")
+    # of large sets the wide bits decide before whole sets have to travel
+    wa = reps.where("side = 0").select(F.col("rid").alias("a"), F.col("len").alias("len_a"), F.col("wide").alias("wide_a"))
+    wb = reps.where(f"side = {int(two)}").select(F.col("rid").alias("b"), F.col("len").alias("len_b"), F.col("wide").alias("wide_b"))
+    apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    both = F.col("len_a") + F.col("len_b")
+    fits = F.coalesce((both - apart) / 2 >= both * F.lit(need), F.lit(True))
+    maybe = reduce(DataFrame.unionAll, [met(x) for x in leaves]).distinct()
+    maybe = materialize(maybe.join(wa, "a").join(wb, "b").where(fits).select("a", "b"), "maybe")
     for t in spent:
         discard(t)
     ls = reps.where("side = 0").select(F.col("rid").alias("a"), F.col("toks").alias("toks_a"))
