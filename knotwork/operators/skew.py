@@ -148,14 +148,23 @@ def eager_join_aggregate(
     return joined.groupBy(*groups).agg(*out) if groups else joined.agg(*out)
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """The keys that hold at least ``share`` of the rows with a key: at most 1/share values, whatever the size."""
+#: A key with no more rows than this is never hot.
+WARM_ROWS = 1000
+
+
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, rows: int | None = None) -> list:
+    """The keys that hold at least ``share`` of the rows with a key: at most 1/share values, whatever the size.
+
+    ``rows``: the number of rows if known; a table too small to have a hot key isn't looked at.
+    """
+    if rows is not None and rows <= WARM_ROWS:
+        return []
     counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
     most = counts.orderBy(F.desc("count"), key).limit(int(1 / share)).collect()
     if not most:
         return []
     n = counts.agg(F.sum("count")).first()[0] if len(most) == int(1 / share) else sum(r["count"] for r in most)
-    return [r[key] for r in most if r["count"] >= share * n and r["count"] > 1000]
+    return [r[key] for r in most if r["count"] >= share * n and r["count"] > WARM_ROWS]
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: Sequence | None = None, salts: int = 64) -> DataFrame:

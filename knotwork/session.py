@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -63,6 +63,15 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return out
 
 
+def materialize_seen(df: DataFrame, label: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`materialize`, and aggregates of the rows noted while they were written, without another job.
+
+    Repeated work after the loss of an executor may be noted twice: fit for sizes that steer, not for results.
+    """
+    seen = Observation()
+    return materialize(df.observe(seen, *metrics), label), seen.get
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete the files of a frame made by :func:`materialize`; nothing may read it afterwards."""
     path = getattr(df, "_knotwork_path", None)
