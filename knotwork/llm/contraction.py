@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import HOT_SHARE, hot_keys, skew_join
-from ..session import discard, materialize
+from ..operators.skew import HOT_SHARE, WARM_ROWS, hot_keys, skew_join
+from ..session import discard, materialize_seen
 
 MAX_ROUNDS = 200
 
@@ -38,30 +38,34 @@ def connected_groups(links: DataFrame, a: str, b: str, node: str = "node_id", gr
     if links.schema[b].dataType != kind:
         raise ValueError("both ends of a link must have the same type")
     x, y = F.col(a), F.col(b)
-    edges = materialize(links.where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "links")
-    left, rounds, spent = edges.count(), [], []
-    while left:
+    count = F.count(F.lit(1)).alias("n")
+    canonical = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges, seen = materialize_seen(canonical(links.where(x != y).select(x.alias("a"), y.alias("b"))), "links", count)
+    rounds: list[DataFrame] = []
+    sizes: list[int] = []
+    while seen["n"]:
         if len(rounds) >= MAX_ROUNDS:
             raise RuntimeError("the contraction doesn't end")
-        turn = len(rounds)
+        turn, limit = len(rounds), max(WARM_ROWS, int(seen["n"] * HOT_SHARE))
         ends = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionAll(edges.select(F.col("b").alias("v"), F.col("a").alias("w")))
         first = ends.groupBy("v").agg(F.min_by("w", _order(F.col("w"), turn)).alias("w"), F.count(F.lit(1)).alias("deg"))
-        hooks = materialize(first.select("v", F.when(_order(F.col("w"), turn) < _order(F.col("v"), turn), F.col("w")).otherwise(F.col("v")).alias("r"), "deg"), "hooks")
-        hubs = [r["v"] for r in hooks.where(F.col("deg") > max(1000, left * HOT_SHARE)).select("v").collect()]  # under 2 / HOT_SHARE of them
+        to = F.when(_order(F.col("w"), turn) < _order(F.col("v"), turn), F.col("w")).otherwise(F.col("v"))
+        hooks, of = materialize_seen(first.select("v", to.alias("r"), "deg"), "hooks", count, F.max("deg").alias("deg"))
+        hubs = [r["v"] for r in hooks.where(F.col("deg") > limit).select("v").collect()] if of["deg"] > limit else []  # under 2 / HOT_SHARE of them
         moved = _relabel(_relabel(edges, hooks, "a", hubs), hooks, "b", hubs).where("a <> b")
-        after = materialize(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-        rounds.append(hooks.select("v", "r"))
-        spent.append(hooks)
+        after, seen = materialize_seen(canonical(moved), "links", count)
+        rounds.append(hooks)
+        sizes.append(of["n"])
         discard(edges)
-        edges, left = after, after.count()
+        edges = after
     if not rounds:
         return edges.select(F.col("a").alias(node), F.col("b").alias(group))
     label = rounds[-1].select("v", F.col("r").alias("g"))
-    for hooks in reversed(rounds[:-1]):
+    for hooks, n in zip(rounds[-2::-1], sizes[-2::-1]):
         up = label.select(F.col("v").alias("r"), "g")
-        label = skew_join(hooks, up, "r", "left").select("v", F.coalesce("g", "r").alias("g"))
-    label = materialize(label, "groups")
-    for hooks in [*spent, edges]:
-        discard(hooks)
+        label = skew_join(hooks, up, "r", "left", hot_keys(hooks, "r", rows=n)).select("v", F.coalesce("g", "r").alias("g"))
+    label, of = materialize_seen(label, "groups", count)
+    for table in [*rounds, edges]:
+        discard(table)
     lowest = label.groupBy("g").agg(F.min("v").alias("low"))
-    return skew_join(label, lowest, "g", hot=hot_keys(label, "g")).select(F.col("v").alias(node), F.col("low").alias(group))
+    return skew_join(label, lowest, "g", hot=hot_keys(label, "g", rows=of["n"])).select(F.col("v").alias(node), F.col("low").alias(group))
