@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from knotwork.llm import contraction
 from knotwork.llm.contraction import connected_groups
 
 
@@ -31,7 +32,9 @@ def check(spark, pairs, kind="bigint"):
     assert {r["node_id"]: r["group_id"] for r in got} == groups(pairs)
 
 
-def test_shapes(spark):
+@pytest.mark.parametrize("last", [0, 5000])
+def test_shapes(spark, monkeypatch, last):
+    monkeypatch.setattr(contraction, "LAST_EDGES", last)
     chain = [(k, k + 1) for k in range(300)]
     star = [(1000, k) for k in range(1001, 1400)]
     clique = [(a, b) for a in range(2000, 2012) for b in range(2000, 2012)]
@@ -39,7 +42,8 @@ def test_shapes(spark):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_random(spark, seed):
+def test_random(spark, seed, monkeypatch):
+    monkeypatch.setattr(contraction, "LAST_EDGES", 20)
     rng = random.Random(seed)
     check(spark, [(rng.randrange(400), rng.randrange(400)) for _ in range(260)])
 
