@@ -141,8 +141,9 @@ class Graph:
         pairs by their number in the row-major triangle. ``step_size`` and ``verbose`` have no effect on the result.
         """
         del step_size, verbose
-        v, n = self._placed()
-        return self._with(e=all_pair_edges(v, n, self.node_id, self.source, self.target, connectors, selectors, transfer_features, r_dtype_dic, no_transfer_rs, from_pos, to_pos, on))
+        keyed = on and not from_pos and to_pos is None
+        v, n = (self.v, None) if keyed else self._placed()
+        return self._with(e=all_pair_edges(v, n, self.node_id, self.source, self.target, connectors, selectors, transfer_features, r_dtype_dic, no_transfer_rs, from_pos, to_pos, on, self.order_by))
 
     def create_edges_ft(
         self,
@@ -174,10 +175,10 @@ class Graph:
             falls = at.join(at.select((F.col(POS) + 1).alias(POS), F.col("x").alias("before")), POS).where("x < before")
             assert falls.isEmpty(), f"the nodes aren't sorted by {column}"
         else:
-            v, _ = self._placed([column])
+            v = self._placed([column])[0] if from_pos or to_pos is not None else self.v
         if to_pos is not None and not 0 <= from_pos < to_pos:
             raise AssertionError("0 <= from_pos < to_pos is required")
-        return self._with(e=band_edges(v, self.node_id, self.source, self.target, ft_feature, connectors, selectors, transfer_features, r_dtype_dic, no_transfer_rs, from_pos, to_pos, on))
+        return self._with(e=band_edges(v, self.node_id, self.source, self.target, ft_feature, connectors, selectors, transfer_features, r_dtype_dic, no_transfer_rs, from_pos, to_pos, on, self.order_by))
 
     def create_correlation_edges(self, vector: str, threshold: float, relation: str = "corr", method: str = "pearson") -> Graph:
         """Edges between nodes whose vectors correlate by at least ``threshold`` in size, by blocks of matrix products.
@@ -313,7 +314,8 @@ class Graph:
             raise ValueError("connection is 'weak' or 'strong'")
         find = components.strong_components if directed and connection == "strong" else components.weak_components
         roots = find(self.e, self.source, self.target)
-        v = components.label_components(self.positioned(), roots, self.node_id, col_name, label_by_size, consolidate_singles)
+        at = self.positioned() if self.order_by else self.v.withColumn(POS, F.col(self.node_id))
+        v = components.label_components(at, roots, self.node_id, col_name, label_by_size, consolidate_singles)
         return self._with(v=v.drop(POS))
 
     def degrees(self) -> DataFrame:

@@ -58,11 +58,14 @@ def band_edges(
     from_pos: int = 0,
     to_pos: int | None = None,
     on: str | Sequence[str] | None = None,
+    order_by: Sequence[str] = (),
 ) -> DataFrame:
-    """The edges of ``create_edges_ft`` over a table whose ``__pos`` follows the band feature.
+    """The edges of ``create_edges_ft``.
 
-    Each pair i < j with value_j - value_i <= threshold, its distance as ``ft_r``. Nodes with an unknown value have no
-    edges. ``from_pos`` and ``to_pos`` limit the source nodes. ``on`` adds keys that must be equal.
+    Each pair i < j, in the order of the band feature, then of ``order_by``, with value_j - value_i <= threshold; its distance
+    is ``ft_r``. Nodes with an unknown value have no edges. ``on`` adds keys that must be equal. ``from_pos`` and ``to_pos``
+    limit the source nodes and need a table with dense ``__pos``; without them rows are compared by value, and no
+    global sort is needed.
     """
     _, value, threshold, unit = band_spec(v, ft_feature)
     con = [f for f in as_functions(connectors, "connector") if isinstance(f, PairFunction)]
@@ -79,12 +82,15 @@ def band_edges(
     x = F.when(F.isnan(value), None).otherwise(value) if isinstance(v.schema[ft_feature[0]].dataType, (T.DoubleType, T.FloatType)) else value
     at = v.withColumn("__x", x).where("__x is not null").withColumn("__b", bucket)
     renamed = {f"__k{i}": F.col(k) for i, k in enumerate(keys)}
-    cols = lambda end: [F.col(node_id).alias(f"__id_{end}"), F.col("__pos").alias(f"__pos_{end}"), F.col("__x").alias(f"__x_{end}"), *[F.col(f).alias(f"{f}_{end}") for f in features], *[c.alias(n) for n, c in renamed.items()]]
+    rank = F.col("__pos") if "__pos" in v.columns else F.struct(*order_by, node_id)
+    cols = lambda end: [F.col(node_id).alias(f"__id_{end}"), rank.alias(f"__rank_{end}"), F.col("__x").alias(f"__x_{end}"), *[F.col(f).alias(f"{f}_{end}") for f in features], *[c.alias(n) for n, c in renamed.items()]]
     sources = at.where((F.col("__pos") >= from_pos) & (F.col("__pos") < to_pos)) if to_pos is not None else at.where(F.col("__pos") >= from_pos) if from_pos else at
     looks = F.explode(F.array(F.col("__b"), F.col("__b") + 1)) if threshold > 0 else F.col("__b")
     left, right = sources.select(*cols("s"), looks.alias("__b")), at.select(*cols("t"), "__b")
     gap = F.col("__x_t") - F.col("__x_s")
-    pairs = block_join(left, right, ["__b", *renamed], "__pos_t").where((F.col("__pos_s") < F.col("__pos_t")) & (gap <= threshold))
+    xs, xt = F.col("__x_s"), F.col("__x_t")
+    ahead = (xs < xt) | ((xs == xt) & (F.col("__rank_s") < F.col("__rank_t")))
+    pairs = block_join(left, right, ["__b", *renamed], "__id_t").where(ahead & (gap <= threshold)).drop("__rank_s", "__rank_t")
     # both sides as named inputs, the distance in the unit the caller chose
     pairs = pairs.withColumn(BAND_OUTPUT, gap.cast("double") / unit if unit else gap)
     ft = {"ft_feature_s": F.col("__x_s"), "ft_feature_t": F.col("__x_t"), "ftt": F.lit(threshold)}

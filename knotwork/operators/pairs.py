@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.pairfunctions import BAND_OUTPUT, PairFunction, as_functions, check_outputs, is_feature, schedule
+from ..plans.pairfunctions import PairFunction, as_functions, check_outputs, schedule
 from ..plans.positions import first_row_of, pair_index
+from .skew import block_join
 
 #: Pairs that one block pair should hold, roughly.
 BLOCK_PAIRS = 4_000_000
+#: Rows a task may hold in a hash table.
+HASHED_ROWS = 1_000_000
 
 #: Names of numpy types and what they become; unsigned ones take the next wider signed type.
 _TYPES = {
@@ -44,25 +47,34 @@ def _names(given: str | Sequence[str] | None) -> list[str]:
     return [] if given is None else [given] if isinstance(given, str) else list(given)
 
 
-def _side(v: DataFrame, node_id: str, features: Sequence[str], end: str, extra: Mapping[str, Column] = {}) -> DataFrame:
-    return v.select(F.col(node_id).alias(f"__id_{end}"), F.col("__pos").alias(f"__pos_{end}"), *[F.col(f).alias(f"{f}_{end}") for f in features], *[c.alias(n) for n, c in extra.items()])
+def _side(v: DataFrame, node_id: str, rank: Column, features: Sequence[str], end: str, extra: Mapping[str, Column] = {}) -> DataFrame:
+    return v.select(F.col(node_id).alias(f"__id_{end}"), rank.alias(f"__pos_{end}"), *[F.col(f).alias(f"{f}_{end}") for f in features], *[c.alias(n) for n, c in extra.items()])
 
 
-def triangle(v: DataFrame, n: int, node_id: str, features: Sequence[str], on: Sequence[str] = (), first: int = 0, last: int | None = None, blocks: int | None = None) -> DataFrame:
+def keyed_pairs(v: DataFrame, node_id: str, features: Sequence[str], on: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
+    """All pairs in row order with equal, known keys; a crowded key is split. Rows are compared by value, or by ``__pos`` if there is one."""
+    keys = {f"__k{i}": F.col(k) for i, k in enumerate(on)}
+    rank = F.col("__pos") if "__pos" in v.columns else F.struct(*order_by, node_id)
+    for k in on:
+        v = v.where(F.col(k).isNotNull())
+    return block_join(_side(v, node_id, rank, features, "s", keys), _side(v, node_id, rank, features, "t", keys), list(keys), "__id_t").where("__pos_s < __pos_t")
+
+
+def triangle(v: DataFrame, n: int, node_id: str, features: Sequence[str], first: int = 0, last: int | None = None, blocks: int | None = None) -> DataFrame:
     """All pairs with pos_s < pos_t of a table with dense ``__pos``; rows first..last only as sources.
 
-    Columns ``__id_s``, ``__id_t``, ``__pos_s``, ``__pos_t`` and ``f_s``, ``f_t`` of each feature. ``on``: pairs need equal, known keys.
+    Columns ``__id_s``, ``__id_t``, ``__pos_s``, ``__pos_t`` and ``f_s``, ``f_t`` of each feature.
     """
-    sources = v.where((F.col("__pos") >= first) & (F.col("__pos") <= (n if last is None else last))) if first or last is not None else v
-    if on:
-        keys = {f"__k{i}": F.col(k) for i, k in enumerate(on)}
-        return _side(sources, node_id, features, "s", keys).join(_side(v, node_id, features, "t", keys), list(keys)).where("__pos_s < __pos_t").drop(*keys)
+    pos = F.col("__pos")
+    sources = v.where((pos >= first) & (pos <= (n if last is None else last))) if first or last is not None else v
     g = blocks or max(1, math.ceil(math.sqrt(n * n / 2 / BLOCK_PAIRS)), min(8, math.ceil(n / 500)))
-    block = F.floor(F.col("__pos") * g / max(n, 1)).cast("int")
+    block = F.floor(pos * g / max(n, 1)).cast("int")
     # block pair (i, j), i <= j, is key i * g + j; a source row of block i takes part in all j >= i, a target row of j in all i <= j
-    left = _side(sources, node_id, features, "s", {"__b": F.explode(F.transform(F.sequence(block, F.lit(g - 1)), lambda j: block * g + j))})
-    right = _side(v, node_id, features, "t", {"__b": F.explode(F.transform(F.sequence(F.lit(0), block), lambda i: i * g + block))})
-    return left.join(right.hint("shuffle_hash"), "__b").where("__pos_s < __pos_t").drop("__b")
+    left = _side(sources, node_id, pos, features, "s", {"__b": F.explode(F.transform(F.sequence(block, F.lit(g - 1)), lambda j: block * g + j))})
+    right = _side(v, node_id, pos, features, "t", {"__b": F.explode(F.transform(F.sequence(F.lit(0), block), lambda i: i * g + block))})
+    tasks = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fits = n * g / 2 / tasks <= HASHED_ROWS  # rows that a task would hold in a hash table; beyond that it sorts and may spill
+    return left.join(right.hint("shuffle_hash" if fits else "merge"), "__b").where("__pos_s < __pos_t").drop("__b")
 
 
 def _argument(name: str, source: str, target: str) -> str:
@@ -139,7 +151,7 @@ def finish(pairs: DataFrame, source: str, target: str, relations: Sequence[str],
 
 def all_pair_edges(
     v: DataFrame,
-    n: int,
+    n: int | None,
     node_id: str,
     source: str,
     target: str,
@@ -151,25 +163,31 @@ def all_pair_edges(
     from_pos: int = 0,
     to_pos: int | None = None,
     on: str | Sequence[str] | None = None,
+    order_by: Sequence[str] = (),
 ) -> DataFrame:
-    """The edges of ``create_edges`` over a node table with dense ``__pos``. An empty selection gives a typed, empty table."""
+    """The edges of ``create_edges``. An empty selection gives a typed, empty table.
+
+    The table has a dense ``__pos`` and ``n`` rows, unless pairs meet by key (``on``) and no range is asked for: then rows are
+    compared by ``order_by`` and id.
+    """
     con = [f for f in as_functions(connectors, "connector") if isinstance(f, PairFunction)]
     sel = [f for f in as_functions(selectors, "selector") if isinstance(f, PairFunction)]
     dtypes, transfer, drop = dict(r_dtype_dic or {}), _names(transfer_features), _names(no_transfer_rs)
     check_outputs([*con, *sel], dtypes)
     order = schedule(sel, con)
-    whole = n * (n - 1) // 2
-    end = whole if to_pos is None else to_pos
-    if whole and not 0 <= from_pos < end <= whole:
-        raise AssertionError(f"0 <= from_pos < to_pos <= {whole} is required")
-    limited = whole and (from_pos > 0 or end < whole)
-    first, last = (first_row_of(n, from_pos), first_row_of(n, end - 1)) if limited else (0, None)
-    pairs = triangle(v, n, node_id, needed_features(order, transfer, [c for c in v.columns if c != "__pos"]), _names(on), first, last)
-    if limited:
-        k = pair_index(F.lit(n), F.col("__pos_s"), F.col("__pos_t"))
-        pairs = pairs.where((k >= from_pos) & (k < end))
+    features = needed_features(order, transfer, [c for c in v.columns if c != "__pos"])
+    if n is None:
+        pairs = keyed_pairs(v, node_id, features, _names(on), order_by)
+    else:
+        whole = n * (n - 1) // 2
+        end = whole if to_pos is None else to_pos
+        if whole and not 0 <= from_pos < end <= whole:
+            raise AssertionError(f"0 <= from_pos < to_pos <= {whole} is required")
+        limited = whole and (from_pos > 0 or end < whole)
+        first, last = (first_row_of(n, from_pos), first_row_of(n, end - 1)) if limited else (0, None)
+        pairs = keyed_pairs(v, node_id, features, _names(on)) if on else triangle(v, n, node_id, features, first, last)
+        if limited:
+            k = pair_index(F.lit(n), F.col("__pos_s"), F.col("__pos_t"))
+            pairs = pairs.where((k >= from_pos) & (k < end))
     pairs = apply_functions(pairs, order)
     return finish(pairs, source, target, [o for f in order for o in f.outputs], transfer, dtypes, drop)
-
-
-__all__ = ["BAND_OUTPUT", "all_pair_edges", "apply_functions", "finish", "is_feature", "needed_features", "sql_type", "triangle"]

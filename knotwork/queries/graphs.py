@@ -95,10 +95,12 @@ def pairs_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""SELECT a.s_suppkey AS s, b.s_suppkey AS t, round(b.s_acctbal - a.s_acctbal, 2) AS gap {_TRIANGLE}
-  WHERE a.pos * (2 * a.n - a.pos - 1) // 2 + b.pos - a.pos - 1 BETWEEN 100 AND 999""")
+  WHERE a.pos * (2 * a.n - a.pos - 1) // 2 + b.pos - a.pos - 1 >= a.n * (a.n - 1) // 20 AND a.pos * (2 * a.n - a.pos - 1) // 2 + b.pos - a.pos - 1 < a.n * (a.n - 1) // 4""")
 def pairs_range(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs 100 to 999 of the triangle (of tables that have so many)."""
-    return suppliers(spark, sf).create_edges(gap, from_pos=100, to_pos=1000).e
+    """The pairs from a tenth to a half of the triangle."""
+    g = suppliers(spark, sf)
+    n = g.n
+    return g.create_edges(gap, from_pos=n * (n - 1) // 20, to_pos=n * (n - 1) // 4).e
 
 
 @query(f"SELECT a.s_suppkey AS s, b.s_suppkey AS t, round(b.s_acctbal - a.s_acctbal, 2) AS gap {_TRIANGLE} WHERE abs(round(b.s_acctbal - a.s_acctbal, 2)) <= 500")
