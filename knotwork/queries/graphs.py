@@ -239,7 +239,7 @@ def partition_nodes_aggs(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({"c_acctbal_sum": F.round("c_acctbal_sum", 2), **{c: F.round(c, 6) for c in ("c_acctbal_mean", "c_acctbal_std", "c_acctbal_median")}})
 
 
-@query("SELECT color, count(*) AS n_nodes, coalesce(sum(size), 0) AS size_sum, list(time ORDER BY v_n, layer, time) AS time_list FROM (SELECT DISTINCT v_n, layer, x, y, time, color, size FROM layer_nodes) WHERE color IS NOT NULL AND layer = 'cell' GROUP BY 1")
+@query("SELECT color, count(*) AS n_nodes, CAST(coalesce(sum(size), 0) AS BIGINT) AS size_sum, list(time ORDER BY v_n, layer, time) AS time_list FROM (SELECT DISTINCT v_n, layer, x, y, time, color, size FROM layer_nodes) WHERE color IS NOT NULL AND layer = 'cell' GROUP BY 1")
 def partition_nodes_lists(spark: SparkSession, sf: str) -> DataFrame:
     """Values of a group as a list in row order."""
     nodes = _table(spark, sf, "layer_nodes").distinct().where("layer = 'cell'")
@@ -603,7 +603,7 @@ def raster_frame(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).plot_raster("event_type", "ts")
 
 
-@query("SELECT g_id, CAST(x AS DOUBLE) AS x, y - 0.6 AS y, CAST(area AS DOUBLE) - x AS width, 1.2 AS height FROM grid_cells")
+@query("SELECT g_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) - 0.6::DOUBLE AS y, CAST(area AS DOUBLE) - x AS width, 1.2::DOUBLE AS height FROM grid_cells")
 def rects_frame(spark: SparkSession, sf: str) -> DataFrame:
     cells = _table(spark, sf, "grid_cells").select("g_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("area").cast("double").alias("area"))
     return Graph(cells, node_id="g_id").plot_rects_label_numeric("y", "x", "area").select("g_id", "x", F.col("y"), "width", "height")

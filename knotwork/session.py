@@ -7,9 +7,11 @@ executor costs a re-read and never a recomputation of earlier rounds.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -24,6 +26,7 @@ SETTINGS = {
 
 _local_root: list[str] = []
 _written: list[str] = []
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "knotwork", master: str | None = None, **extra: str) -> SparkSession:
@@ -33,7 +36,28 @@ def build_session(app: str = "knotwork", master: str | None = None, **extra: str
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship(session)
+    return session
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that they can import it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):
+        folder = tempfile.mkdtemp(prefix="knotwork-ship-")
+        path = os.path.join(folder, "knotwork.zip")
+        with zipfile.ZipFile(path, "w") as bundle:
+            for at, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        bundle.write(os.path.join(at, name), os.path.join("knotwork", os.path.relpath(os.path.join(at, name), root)))
+        spark.sparkContext.addPyFile(path)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    _shipped.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
