@@ -356,9 +356,11 @@ def bin_linear(spark: SparkSession, sf: str) -> DataFrame:
     return Graph(_table(spark, sf, "part"), node_id="p_partkey").append_binning_labels_v("p_size", "size_bin", 10).v.select("p_partkey", "size_bin")
 
 
-@query(None)
+@query("""WITH m AS (SELECT log10(min(p_size)) AS lo, log10(max(p_size)) AS hi, max(p_size) AS top FROM part), c AS (SELECT *, CAST(ceil((hi - lo) * 5) AS INT) AS n FROM m),
+  g AS (SELECT list(CASE WHEN k = n - 1 THEN top ELSE 10 ** (lo + k * ((hi - lo) / (n - 1))) END ORDER BY k) AS edges FROM c, range(20) t(k) WHERE k < n)
+  SELECT p_partkey, CAST(len(list_filter(edges, lambda x: x <= p_size)) AS BIGINT) AS size_bin FROM part, g""")
 def bin_log(spark: SparkSession, sf: str) -> DataFrame:
-    """Logarithmic bins: 5 edges per factor of ten. Tested against numpy."""
+    """Logarithmic bins: 5 edges per factor of ten."""
     return Graph(_table(spark, sf, "part"), node_id="p_partkey").append_binning_labels_v("p_size", "size_bin", log_bins=5).v.select("p_partkey", "size_bin")
 
 
@@ -511,14 +513,20 @@ def set_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return Graph(v).create_edges([overlap, strength], on="block").e
 
 
-@query(None)
+@query("""WITH c AS (SELECT cp, list_sort(list_distinct(any_value(supernode_ids))) AS cells FROM clusters WHERE supernode_ids IS NOT NULL GROUP BY cp),
+  e AS (SELECT DISTINCT least(s, t) AS s, greatest(s, t) AS t FROM superedges WHERE s <> t),
+  x AS (SELECT s, t, CAST(len(list_intersect(a.cells, b.cells)) AS INT) AS k, greatest(len(a.cells), len(b.cells)) AS big, least(len(a.cells), len(b.cells)) AS small FROM e JOIN c a ON a.cp = s JOIN c b ON b.cp = t),
+  y AS (SELECT *, unnest(range(k + 1, small + 1)) AS j FROM x),
+  z AS (SELECT s, t, sum(exp(lgamma(big + 1) - lgamma(j + 1) - lgamma(big - j + 1) + lgamma(12100 - big + 1) - lgamma(small - j + 1) - lgamma(12100 - big - small + j + 1)
+    - lgamma(12101) + lgamma(small + 1) + lgamma(12100 - small + 1))) AS p FROM y GROUP BY s, t)
+  SELECT x.s, x.t, k AS intsec_card, round(coalesce(p, 0), 7) AS p_value FROM x LEFT JOIN z USING (s, t)""")
 def overlap_p_value(spark: SparkSession, sf: str) -> DataFrame:
-    """Chance of sharing more cells than two clusters do, for the links on record. Tested against exact sums."""
+    """Chance of sharing more cells than two clusters do, for the links on record."""
     c = _table(spark, sf, "clusters").where("supernode_ids is not null").groupBy("cp").agg(F.min(F.array_sort(F.array_distinct(F.filter("supernode_ids", lambda x: x.isNotNull())))).alias("cells"))
-    e = _table(spark, sf, "superedges").select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).where("s < t").distinct()
+    e = _table(spark, sf, "superedges").select(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).where("s <> t").distinct()
     at = e.join(c.select(F.col("cp").alias("s"), F.col("cells").alias("a")), "s").join(c.select(F.col("cp").alias("t"), F.col("cells").alias("b")), "t")
     card = F.size(F.array_intersect("a", "b"))
-    return at.select("s", "t", card.alias("intsec_card"), hypergeometric_p_value(card, F.size("a"), F.size("b"), 110 * 110).alias("p_value"))
+    return at.select("s", "t", card.alias("intsec_card"), F.round(hypergeometric_p_value(card, F.size("a"), F.size("b"), 110 * 110), 7).alias("p_value"))
 
 
 # --- exports ---
