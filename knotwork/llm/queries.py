@@ -12,7 +12,7 @@ from .contraction import connected_groups
 from .mixing import Mix, mix_sources
 from .packing import containers, pack
 from .sketch import combine, percentiles, sketch
-from .textforms import look_alike_classes, look_alike_pairs, normalized
+from .textforms import HYPHENS, IGNORABLE, SAME_SHAPE, look_alike_classes, look_alike_pairs, normalized
 from .tokens import token_count
 
 ACCURACY = 0.01
@@ -230,6 +230,24 @@ def _bucketed(source: str, keys: str, value: str) -> str:
       SELECT {keys}, CAST(sum(n) AS BIGINT) AS n_values, {pick(0.5)} AS p50, {pick(0.9)} AS p90 FROM c GROUP BY {keys}"""
 
 
+def _chr(codes: object) -> str:
+    return "".join(map(chr, codes))
+
+
+def _visual_sql(text: str) -> str:
+    """The visual form in SQL, written on its own: compose, map single characters, take joined letters apart, compose again."""
+    wide = _chr(range(0xFF01, 0xFF5F))
+    there = wide + "".join(a for a, _ in SAME_SHAPE) + HYPHENS[:2] + "ёЁїЇѐЀάίόύΆΈΊΌΎϊϋΪΫµ"
+    here = _chr(range(0x21, 0x7F)) + "".join(b for _, b in SAME_SHAPE) + "--" + "ëËïÏèÈáíóúÁÉÍÓÝïüÏŸμ"
+    blank = "[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+    gone = "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in IGNORABLE) + "]"
+    quote = lambda s: s.replace("'", "''")
+    form = f"translate(nfc_normalize(regexp_replace({text}, '{gone}', '', 'g')), '{quote(there)}', '{quote(here)}')"
+    for joined, parts in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("Ή", "H" + chr(0x301))):
+        form = f"replace({form}, '{joined}', '{parts}')"
+    return f"trim(regexp_replace(nfc_normalize({form}), '{blank}', ' ', 'g'))"
+
+
 SQL = {
     "p3_found": f"""SELECT 'ft_r' AS field, layer || '|' || strftime(day, '%Y-%m-%d') AS group_key FROM ({_FT}) GROUP BY layer, day
       HAVING quantile_disc(ft_r, 0.9) >= 8 * quantile_disc(ft_r, 0.5)
@@ -253,4 +271,9 @@ SQL = {
     "p7_found": """WITH d AS (SELECT lower(trim(source)) AS source, length(text) AS n FROM documents WHERE text IS NOT NULL)
       SELECT t.source FROM mix_targets t LEFT JOIN d USING (source) GROUP BY t.source, target_share, max_repeats
       HAVING coalesce(sum(n), 0) * max_repeats < target_share * (SELECT sum(n) FROM d)""",
+    "p8_found": f"""WITH f AS (SELECT doc_id, text, {_visual_sql("text")} AS form FROM documents WHERE text <> '')
+      SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
+    "p8_classes": f"""WITH f AS (SELECT doc_id, text, {_visual_sql("text")} AS form FROM documents WHERE text <> ''),
+      c AS (SELECT form, min(doc_id) AS class_doc, count(*) AS n_docs, count(DISTINCT text) AS n_spellings FROM f GROUP BY form)
+      SELECT doc_id, class_doc, n_docs, n_spellings FROM f JOIN c USING (form)""",
 }
