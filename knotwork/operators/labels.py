@@ -15,13 +15,13 @@ def bin_edges(df: DataFrame, col: str, bins: int | Sequence[float] = 10, log_bin
     """Edges for binning a column: ``bins`` evenly spaced edges (so bins - 1 intervals), or the given ones.
 
     ``log_bins``: so many edges per factor of ten, evenly spaced in the logarithm; needs values above 0. ``floor``: edges
-    rounded down, repeats removed, the last one kept at the largest value.
+    rounded down, repeats removed, the last one kept at the largest value. A column without known values has no edges.
     """
     if log_bins is False and not isinstance(bins, (int, np.integer)):
         return [float(b) for b in bins]
     lo, hi = (None if x is None else float(x) for x in df.agg(F.min(col), F.max(col)).first())
     if lo is None:
-        raise ValueError(f"{col} has no known value")
+        return []
     if log_bins is not False:
         if lo <= 0 or lo == hi:
             raise ValueError("logarithmic bins need different values above 0")
@@ -37,6 +37,8 @@ def bin_edges(df: DataFrame, col: str, bins: int | Sequence[float] = 10, log_bin
 
 def digitize(x: Column, edges: Sequence[float]) -> Column:
     """How many edges are passed: 0 below the first, len(edges) from the last on and for unknown values. Falling edges count from above."""
+    if not len(edges):
+        return F.lit(0).cast("bigint")
     arr = F.array(*[F.lit(float(e)) for e in edges])
     falling = len(edges) > 1 and edges[0] > edges[-1]
     passed = F.size(F.filter(arr, (lambda e: e > x) if falling else (lambda e: e <= x))).cast("bigint")
@@ -89,10 +91,15 @@ def with_datetime_categories(df: DataFrame, col: str = "time", timeofday: str |
 def with_codes(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
     """``df`` with a dense code 0, 1, ... of the sorted distinct (tuples of) values; -1 where one of them is unknown.
 
+    A column that has the name already is replaced, unless it is one of those coded.
+
     Only the distinct values are ranked, by a distributed sort, and joined back.
     """
     from ..plans.positions import with_position
 
+    if name in columns:
+        raise ValueError(f"{name} can't be coded into itself")
+    df = df.drop(name)
     some = df.select(*columns).distinct()
     for c in columns:
         some = some.where(F.col(c).isNotNull())
