@@ -40,12 +40,12 @@ def cluster_sketch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups whose 90th percentile is at least 8 times their median."""
-    key = F.concat_ws("|", "layer", F.date_format("day", "yyyy-MM-dd"))
+    """Groups whose 90th percentile is at least 8 times their median; rows of unknown layer or day are in no group."""
+    key = F.concat("layer", F.lit("|"), F.date_format("day", "yyyy-MM-dd"))
     e = percentiles(edge_sketch(spark, sf), ["layer", "day"], HALF_AND_NINTH, ACCURACY).select(F.lit("ft_r").alias("field"), key.alias("group_key"), "p50", "p90")
     c = percentiles(cluster_sketch(spark, sf), ["day"], HALF_AND_NINTH, ACCURACY)
     c = c.select(F.lit("supernode_ids").alias("field"), F.date_format("day", "yyyy-MM-dd").alias("group_key"), "p50", "p90")
-    return e.unionByName(c).where("p90 >= 8 * p50").select("field", "group_key")
+    return e.unionByName(c).where("p90 >= 8 * p50 and group_key is not null").select("field", "group_key")
 
 
 def p3_layer_day(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,9 +249,9 @@ def _visual_sql(text: str) -> str:
 
 
 SQL = {
-    "p3_found": f"""SELECT 'ft_r' AS field, layer || '|' || strftime(day, '%Y-%m-%d') AS group_key FROM ({_FT}) GROUP BY layer, day
+    "p3_found": f"""SELECT 'ft_r' AS field, layer || '|' || strftime(day, '%Y-%m-%d') AS group_key FROM ({_FT}) WHERE layer IS NOT NULL AND day IS NOT NULL GROUP BY layer, day
       HAVING quantile_disc(ft_r, 0.9) >= 8 * quantile_disc(ft_r, 0.5)
-      UNION ALL SELECT 'supernode_ids', strftime(day, '%Y-%m-%d') FROM ({_SIZES}) GROUP BY day
+      UNION ALL SELECT 'supernode_ids', strftime(day, '%Y-%m-%d') FROM ({_SIZES}) WHERE day IS NOT NULL GROUP BY day
       HAVING quantile_disc(n_cells, 0.9) >= 8 * quantile_disc(n_cells, 0.5)""",
     "p3_layer_day": _bucketed(_FT, "layer, day", "ft_r"),
     "p3_layer_merged": _bucketed(_FT, "layer", "ft_r"),
