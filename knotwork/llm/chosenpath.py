@@ -123,41 +123,47 @@ def similar_sets(
     carried = ["side", "rid", "len", "b0", "b1"]
     roots = F.transform(F.sequence(F.lit(0), F.lit(trees_for(threshold, recall, branching, depth) - 1)), lambda k: F.xxhash64(k, F.lit(seed)))
     level = _children(reps.select(*carried, "toks", F.explode(roots).alias("path")), branching)
-    leaves, spent = [], []
+    small, large, spent = [], [], []
     for d in range(1, depth + 1):
         rows = materialize(level, "paths")
         nodes = materialize(rows.groupBy("path").count().where("count > 1"), "nodes")
-        total = rows.count()
-        hot = [r[0] for r in nodes.where(F.col("count") > max(4 * node_rows, total / 256)).select("path").collect()]
-        sized = skew_join(rows, nodes, "path", hot=hot)
         spent += [rows, nodes]
-        last = d == depth
-        leaves.append(sized if last else sized.where(F.col("count") <= node_rows))
-        if last or nodes.where(F.col("count") > node_rows).isEmpty():
+        small.append(rows.join(nodes.where(F.col("count") <= node_rows).select("path"), "path"))
+        full = nodes.where(F.col("count") > node_rows)
+        limit = max(4 * node_rows, rows.count() / 256)
+        hot = [r[0] for r in full.where(F.col("count") > limit).select("path").collect()]  # 256 at most
+        if d == depth:
+            large.append(skew_join(rows, full, "path", hot=hot))
+        elif full.isEmpty():
             break
-        grown = sized.where(F.col("count") > node_rows).drop("count").join(reps.select("side", "rid", "toks"), ["side", "rid"])
-        level = _children(grown, branching)
+        else:
+            grown = skew_join(rows, full.select("path"), "path", hot=hot)
+            level = _children(grown.join(reps.select("side", "rid", "toks"), ["side", "rid"]), branching)
     need = threshold / (1 + threshold) - 1e-9
 
-    def met(rows: DataFrame) -> DataFrame:
-        """Pairs of one node that may be similar by size and by bits; nodes beyond ``node_rows`` meet block by block."""
-        parts = F.ceil(F.col("count") / node_rows).cast("bigint")
-        x = rows.withColumn("blk", F.pmod(F.xxhash64("rid"), parts)).select("path", "blk", *[F.col(c).alias(f"{c}_a") for c in carried])
-        y = rows.withColumn("blk", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).select("path", "blk", *[F.col(c).alias(f"{c}_b") for c in carried])
+    def met(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
+        """Pairs of one node (or block of one) that may be similar by size and by bits."""
+        left = x.select(*keys, *[F.col(c).alias(f"{c}_a") for c in carried])
+        right = y.select(*keys, *[F.col(c).alias(f"{c}_b") for c in carried])
         c = F.col
         apart = F.bit_count(c("b0_a").bitwiseXOR(c("b0_b"))) + F.bit_count(c("b1_a").bitwiseXOR(c("b1_b")))
         both = c("len_a") + c("len_b")
         ordered = (c("side_a") < c("side_b")) if two else (c("rid_a") < c("rid_b"))
         fits = (F.least("len_a", "len_b") >= F.greatest("len_a", "len_b") * F.lit(threshold - 1e-9)) & ((both - apart) / 2 >= both * F.lit(need))
-        return x.join(y, ["path", "blk"]).where(ordered & fits).select(c("rid_a").alias("a"), c("rid_b").alias("b"))
+        return left.join(right, keys).where(ordered & fits).select(c("rid_a").alias("a"), c("rid_b").alias("b"))
 
+    found = [met(x, x, ["path"]) for x in small]  # already laid out by path: the self-join moves nothing
+    for x in large:  # block by block
+        parts = F.ceil(F.col("count") / node_rows).cast("bigint")
+        mine, every_one = F.pmod(F.xxhash64("rid"), parts), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
+        found.append(met(x.withColumn("blk", mine), x.withColumn("blk", every_one), ["path", "blk"]))
     # of large sets the wide bits decide before whole sets have to travel
     wa = reps.where("side = 0").select(F.col("rid").alias("a"), F.col("len").alias("len_a"), F.col("wide").alias("wide_a"))
     wb = reps.where(f"side = {int(two)}").select(F.col("rid").alias("b"), F.col("len").alias("len_b"), F.col("wide").alias("wide_b"))
     apart = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
     both = F.col("len_a") + F.col("len_b")
     fits = F.coalesce((both - apart) / 2 >= both * F.lit(need), F.lit(True))
-    maybe = reduce(DataFrame.unionAll, [met(x) for x in leaves]).distinct()
+    maybe = reduce(DataFrame.unionAll, found).distinct()
     maybe = materialize(maybe.join(wa, "a").join(wb, "b").where(fits).select("a", "b"), "maybe")
     for t in spent:
         discard(t)
