@@ -7,8 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pairs import sql_type  # noqa: F401  (part of the type vocabulary that exporters document)
-
 
 def _chosen(given: bool | str | Sequence[str], every: Sequence[str]) -> list[str]:
     if given is True:

@@ -77,12 +77,12 @@ def triangle(v: DataFrame, n: int, node_id: str, features: Sequence[str], first:
     return left.join(right.hint("shuffle_hash" if fits else "merge"), "__b").where("__pos_s < __pos_t").drop("__b")
 
 
-def _argument(name: str, source: str, target: str) -> str:
+def _argument(name: str) -> str:
     return {"sources": "__id_s", "targets": "__id_t"}.get(name, name)
 
 
 def _apply_column(pairs: DataFrame, fn: PairFunction, ft: Mapping[str, Column]) -> DataFrame:
-    args = [ft[p] if p in ft else F.col(f"`{_argument(p, '', '')}`") for p in fn.inputs]
+    args = [ft[p] if p in ft else F.col(f"`{_argument(p)}`") for p in fn.inputs]
     out = fn.fn(*args)
     parts = list(out) if isinstance(out, (tuple, list)) else [out]
     keep = parts.pop(0) if fn.kind == "selector" else None
@@ -99,7 +99,7 @@ def _apply_vectorized(pairs: DataFrame, fn: PairFunction, ftt: object) -> DataFr
         schema = schema.add(name, T._parse_datatype_string(sql_type(fn.types.get(name, "double"))))
     outputs, inputs, is_selector, indexing, label = fn.outputs, fn.inputs, fn.kind == "selector", fn.indexing, fn.name
     run = fn.fn
-    rename = {p: _argument(p, "", "") for p in inputs}
+    rename = {p: _argument(p) for p in inputs}
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

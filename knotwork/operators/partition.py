@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.group import GroupedData
 
-from ..functions.numeric import nan_to_null
-
 
 def _number(c: Column, kind: T.DataType) -> Column:
     return c.cast("int") if isinstance(kind, T.BooleanType) else c
@@ -104,7 +102,3 @@ def with_end_features(e: DataFrame, v: DataFrame, node_id: str, source: str, tar
             found = v.select(F.col(node_id).alias(key), *[F.col(f"`{f}`").alias(f"{f}_{end}") for f in wanted])
             e = e.drop(*[f"{f}_{end}" for f in wanted]).join(found, key, "left")
     return e
-
-
-def prepared(df: DataFrame) -> DataFrame:
-    return nan_to_null(df)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import great_circle_dist
 from ..functions.sets import cp_intersection_strength, cp_node_intersection, hypergeometric_p_value
-from ..functions.vectors import dot, ordinal_ranks, whiten
+from ..functions.vectors import dot, whiten
 from ..graph import Graph
 from ..operators import plotdata
 from ..plans.pairfunctions import connector, selector

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import scratch_path
 from ..streaming import stream_band_edges, stream_once, stream_partition
 
 
@@ -22,7 +20,7 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def _finished(stream: DataFrame) -> DataFrame:
     """Run to the end of what is there, in append mode, and read what came out."""
-    base = f"{shared_dir(stream.sparkSession)}/knotwork-stream-{uuid.uuid4().hex}"
+    base = scratch_path(stream.sparkSession, "stream")
     run = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")

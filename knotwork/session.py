@@ -76,12 +76,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_root[0]
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there is removed when the program ends."""
+    path = f"{shared_dir(spark)}/knotwork-{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and the scan keeps column pruning."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/knotwork-{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._knotwork_path = path
     return out
