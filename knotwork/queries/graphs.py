@@ -12,6 +12,7 @@ from ..functions.sets import cp_intersection_strength, cp_node_intersection, hyp
 from ..functions.vectors import dot, whiten
 from ..graph import Graph
 from ..operators import plotdata
+from ..operators.pairs import keyed_pairs
 from ..plans.pairfunctions import connector, selector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -513,6 +514,26 @@ def set_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return Graph(v).create_edges([overlap, strength], on="block").e
 
 
+@query("""WITH i AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_suppkey IS NOT NULL), n AS (SELECT s, count(p) AS n FROM i GROUP BY s),
+  k AS (SELECT a.s, b.s AS t, count(*) AS k FROM i a JOIN i b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2)
+  SELECT a.s, b.s AS t, CAST(coalesce(k, 0) AS INT) AS intsec_card, CASE WHEN least(a.n, b.n) > 0 THEN CAST(coalesce(k, 0) AS DOUBLE) / least(a.n, b.n) END AS intsec_strength,
+  coalesce(k, 0) = a.n AND a.n = b.n AS same FROM n a JOIN n b ON a.s < b.s LEFT JOIN k ON k.s = a.s AND k.t = b.s""")
+def set_overlap_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlap of the part sets of every pair of suppliers: those with a common part meet by it, and the others share 0."""
+    items = _table(spark, sf, "lineitem").where("l_suppkey is not null").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("part")).distinct()
+
+    @connector(outputs=["own", "other"])
+    def sizes(n_s, n_t):
+        return n_s, n_t
+
+    pairs = Graph(items.groupBy("id").agg(F.count("part").alias("n"))).create_edges(sizes).e
+    met = keyed_pairs(items, "id", [], ["part"]).groupBy(F.col("__id_s").alias("s"), F.col("__id_t").alias("t")).agg(F.count(F.lit(1)).alias("k"))
+    card = F.coalesce("k", F.lit(0)).cast("int")
+    strength = cp_intersection_strength(card, F.col("own"), F.col("other"))
+    same = (card == F.col("own")) & (card == F.col("other"))
+    return pairs.join(met, ["s", "t"], "left").select("s", "t", card.alias("intsec_card"), strength.alias("intsec_strength"), same.alias("same"))
+
+
 @query("""WITH c AS (SELECT cp, list_sort(list_distinct(any_value(supernode_ids))) AS cells FROM clusters WHERE supernode_ids IS NOT NULL GROUP BY cp),
   e AS (SELECT DISTINCT least(s, t) AS s, greatest(s, t) AS t FROM superedges WHERE s <> t),
   x AS (SELECT s, t, CAST(len(list_intersect(a.cells, b.cells)) AS INT) AS k, greatest(len(a.cells), len(b.cells)) AS big, least(len(a.cells), len(b.cells)) AS small FROM e JOIN c a ON a.cp = s JOIN c b ON b.cp = t),
