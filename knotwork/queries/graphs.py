@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import great_circle_dist
@@ -565,6 +565,11 @@ def coo_weighted(spark: SparkSession, sf: str) -> DataFrame:
     return trade(spark, sf).return_cs_graph("value")
 
 
+def _kind(col: str) -> Column:
+    """A type without its variants in case and blanks."""
+    return F.lower(F.trim(col))
+
+
 _WIDE = """e AS (SELECT * FROM (PIVOT (SELECT s, t, type, CASE WHEN NOT isnan(weight) THEN weight END AS weight FROM layer_edges WHERE t IS NOT NULL) ON type IN ('kin', 'trade', 'co_sighting') USING max(weight) GROUP BY s, t))"""
 
 
@@ -668,6 +673,15 @@ def dominant_type(spark: SparkSession, sf: str) -> DataFrame:
     return wide.select("s", "t", pick.alias("dominant"))
 
 
+@query("""WITH c AS (SELECT s, t, lower(trim(type)) AS type, count(*) AS n FROM layer_edges WHERE t IS NOT NULL GROUP BY 1, 2, 3)
+  SELECT s, t, first(type ORDER BY n DESC, type) FILTER (type IS NOT NULL) AS dominant FROM c GROUP BY 1, 2""")
+def dominant_type_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The most frequent of all types of each pair, variants as one, the first by name of equals; NULL where no type is known."""
+    e = _table(spark, sf, "layer_edges").where("t is not null").groupBy("s", "t", _kind("type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.when(F.col("type").isNotNull(), F.struct(-F.col("n"), "type"))
+    return e.groupBy("s", "t").agg(F.min_by("type", rank).alias("dominant"))
+
+
 @query("""SELECT cp, CAST(sum(area) AS BIGINT) AS area FROM (SELECT DISTINCT cp, g_id FROM (SELECT cp, unnest(supernode_ids) AS g_id FROM clusters) WHERE g_id IS NOT NULL) JOIN (SELECT g_id, area FROM grid_cells) USING (g_id) GROUP BY cp""")
 def cluster_area(spark: SparkSession, sf: str) -> DataFrame:
     """Area a cluster covers, each cell once: distinct, then sum."""

@@ -23,3 +23,13 @@ def test_set_overlap_meets_suppliers_of_all_blocks(spark, made, rows):
     folder = made(lineitem=([(s, p) for s, ps in parts.items() for p in ps] * 2, "l_suppkey bigint, l_partkey bigint"))
     want = [(s, t, len(a & b), len(a & b) / min(len(a), len(b)), a == b) for (s, a), (t, b) in itertools.combinations(parts.items(), 2)]
     assert rows(contract.queries()["set_overlap_all"](spark, folder), "s", "t", "intsec_card", "intsec_strength", "same") == sorted(want, key=repr)
+
+
+EDGES = "s bigint, t bigint, type string, weight double"
+
+
+def test_dominant_type_counts_every_type(spark, made, rows):
+    pairs = {(1, 2): ["co_sighting", "co_sighting", "kin"], (1, 3): ["Signal", " signal", "trade"], (2, 3): ["other"], (2, 4): [None, None, "kin"], (3, 4): [None], (4, 5): ["trade", "kin"]}
+    folder = made(layer_edges=([(s, t, k, 1.0) for (s, t), kinds in pairs.items() for k in kinds] + [(1, None, "kin", 1.0)], EDGES))
+    want = [(1, 2, "co_sighting"), (1, 3, "signal"), (2, 3, "other"), (2, 4, "kin"), (3, 4, None), (4, 5, "kin")]
+    assert rows(contract.queries()["dominant_type_all"](spark, folder), "s", "t", "dominant") == sorted(want, key=repr)
