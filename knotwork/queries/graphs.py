@@ -586,6 +586,16 @@ def multigraph_cells(spark: SparkSession, sf: str) -> DataFrame:
     return wide_edges(spark, sf).return_nx_multigraph(relations=True)[1]
 
 
+@query("""SELECT s, t, coalesce(lower(trim(type)), 'unknown') AS relation, max(CASE WHEN NOT isnan(weight) THEN weight END) AS value FROM layer_edges WHERE t IS NOT NULL
+  GROUP BY 1, 2, 3 HAVING max(CASE WHEN NOT isnan(weight) THEN weight END) IS NOT NULL""")
+def multigraph_cells_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of every type that occurs, its variants as one; edges of no type are of type 'unknown'."""
+    w = F.col("weight")
+    e = _table(spark, sf, "layer_edges").where("t is not null").select("s", "t", F.coalesce(_kind("type"), F.lit("unknown")).alias("type"), F.when(~F.isnan(w), w).alias("weight"))
+    e = e.groupBy("s", "t").pivot("type").agg(F.max("weight"))
+    return Graph(_table(spark, sf, "layer_nodes").select("v_n").distinct(), e, node_id="v_n").return_nx_multigraph(relations=True)[1]
+
+
 @query(f"WITH {_WIDE} SELECT s, t, kin, trade FROM e WHERE kin IS NOT NULL AND trade IS NOT NULL")
 def row_edges_dropna(spark: SparkSession, sf: str) -> DataFrame:
     return wide_edges(spark, sf).return_nx_graph(relations=["kin", "trade"], dropna="any")[1]

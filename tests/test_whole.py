@@ -33,3 +33,10 @@ def test_dominant_type_counts_every_type(spark, made, rows):
     folder = made(layer_edges=([(s, t, k, 1.0) for (s, t), kinds in pairs.items() for k in kinds] + [(1, None, "kin", 1.0)], EDGES))
     want = [(1, 2, "co_sighting"), (1, 3, "signal"), (2, 3, "other"), (2, 4, "kin"), (3, 4, None), (4, 5, "kin")]
     assert rows(contract.queries()["dominant_type_all"](spark, folder), "s", "t", "dominant") == sorted(want, key=repr)
+
+
+def test_multigraph_cells_of_every_type(spark, made, rows):
+    edges = [(1, 2, "kin", 1.0), (1, 2, "signal", 2.0), (1, 2, "Signal", 3.0), (1, 3, "other", 4.0), (2, 3, None, 5.0), (2, 3, "trade", float("nan")), (2, 4, "trade", None), (3, None, "kin", 1.0)]
+    folder = made(layer_edges=(edges, EDGES), layer_nodes=([(k,) for k in range(1, 5)], "v_n bigint"))
+    want = [(1, 2, "kin", 1.0), (1, 2, "signal", 3.0), (1, 3, "other", 4.0), (2, 3, "unknown", 5.0)]
+    assert rows(contract.queries()["multigraph_cells_all"](spark, folder), "s", "t", "relation", "value") == sorted(want, key=repr)
