@@ -422,6 +422,21 @@ def components_singles(spark: SparkSession, sf: str) -> DataFrame:
     return close_suppliers(spark, sf).append_cp(consolidate_singles=True).v.select("s_suppkey", "cp")
 
 
+def layers(spark: SparkSession, sf: str) -> Graph:
+    """All nodes of the layers, each once, and the layer edges between them."""
+    return Graph(_table(spark, sf, "layer_nodes").select("v_n").distinct(), _table(spark, sf, "layer_edges").select("s", "t"), node_id="v_n").update_edges()
+
+
+@query()
+def components_all(spark: SparkSession, sf: str) -> DataFrame:
+    return layers(spark, sf).append_cp().v.select("v_n", "cp")
+
+
+@query()
+def components_singles_all(spark: SparkSession, sf: str) -> DataFrame:
+    return layers(spark, sf).append_cp(consolidate_singles=True).v.select("v_n", "cp")
+
+
 _ARCS = "SELECT DISTINCT n_nationkey AS s, (n_nationkey * 7 + 3) % 25 AS t FROM nation UNION SELECT n_nationkey, (n_nationkey * 3) % 25 FROM nation WHERE n_nationkey % 4 = 0"
 
 

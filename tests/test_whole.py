@@ -40,3 +40,11 @@ def test_multigraph_cells_of_every_type(spark, made, rows):
     folder = made(layer_edges=(edges, EDGES), layer_nodes=([(k,) for k in range(1, 5)], "v_n bigint"))
     want = [(1, 2, "kin", 1.0), (1, 2, "signal", 3.0), (1, 3, "other", 4.0), (2, 3, "unknown", 5.0)]
     assert rows(contract.queries()["multigraph_cells_all"](spark, folder), "s", "t", "relation", "value") == sorted(want, key=repr)
+
+
+def test_components_of_all_layers(spark, made, rows):
+    edges = [(1, 2), (2, 3), (6, 5), (5, 5), (4, None), (3, 99), (99, 4)]
+    folder = made(layer_edges=([(s, t, "kin", 1.0) for s, t in edges], EDGES), layer_nodes=([(k,) for k in (1, 1, 2, 3, 4, 5, 6)], "v_n bigint"))
+    known = contract.queries()
+    assert rows(known["components_all"](spark, folder), "v_n", "cp") == [(1, 0), (2, 0), (3, 0), (4, 2), (5, 1), (6, 1)]
+    assert rows(known["components_singles_all"](spark, folder), "v_n", "cp") == [(1, 1), (2, 1), (3, 1), (4, 0), (5, 2), (6, 2)]
