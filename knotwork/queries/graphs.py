@@ -247,6 +247,13 @@ def partition_nodes_lists(spark: SparkSession, sf: str) -> DataFrame:
     return Graph(nodes, node_id="v_n", order_by=["v_n", "layer", "time"]).partition_nodes("color", {"size": ["sum"], "time": ["list"]})
 
 
+@query("SELECT layer, color, count(*) AS n_nodes, CAST(coalesce(sum(size), 0) AS BIGINT) AS size_sum, list(time ORDER BY v_n, time) AS time_list FROM (SELECT DISTINCT v_n, layer, x, y, time, color, size FROM layer_nodes) WHERE color IS NOT NULL AND layer IS NOT NULL GROUP BY 1, 2")
+def partition_nodes_lists_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The same lists for the colors of every layer."""
+    nodes = _table(spark, sf, "layer_nodes").distinct()
+    return Graph(nodes, node_id="v_n", order_by=["v_n", "layer", "time"]).partition_nodes(["layer", "color"], {"size": ["sum"], "time": ["list"]})
+
+
 @query("""SELECT c_nationkey, c_mktsegment, count(*) AS n_nodes, round(coalesce(sum(c_acctbal), 0), 2) AS c_acctbal,
   2 - (grouping(c_nationkey) + grouping(c_mktsegment)) AS level FROM customer WHERE c_nationkey IS NOT NULL AND c_mktsegment IS NOT NULL GROUP BY ROLLUP (c_nationkey, c_mktsegment)""")
 def partition_rollup(spark: SparkSession, sf: str) -> DataFrame:

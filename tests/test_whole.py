@@ -48,3 +48,10 @@ def test_components_of_all_layers(spark, made, rows):
     known = contract.queries()
     assert rows(known["components_all"](spark, folder), "v_n", "cp") == [(1, 0), (2, 0), (3, 0), (4, 2), (5, 1), (6, 1)]
     assert rows(known["components_singles_all"](spark, folder), "v_n", "cp") == [(1, 1), (2, 1), (3, 1), (4, 0), (5, 2), (6, 2)]
+
+
+def test_lists_of_every_layer(spark, made, rows):
+    nodes = [(2, "cell", 7, "g", 1), (1, "cell", 9, "g", 2), (1, "surge", 4, "g", 3), (1, "surge", 4, "g", 3), (3, "drift", 5, "b", 4), (4, "plume", 6, None, 5)]
+    folder = made(layer_nodes=([(v, layer, 0.0, 0.0, at, color, size) for v, layer, at, color, size in nodes], "v_n bigint, layer string, x double, y double, time bigint, color string, size bigint"))
+    out = contract.queries()["partition_nodes_lists_all"](spark, folder)
+    assert rows(out, "layer", "color", "n_nodes", "size_sum", "time_list") == [("cell", "g", 2, 3, [9, 7]), ("drift", "b", 1, 4, [5]), ("surge", "g", 1, 3, [4])]
