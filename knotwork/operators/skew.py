@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import known
+from ..session import discard, materialize
 
 HOT_SHARE = 1 / 256
 
@@ -148,53 +151,92 @@ def eager_join_aggregate(
     return joined.groupBy(*groups).agg(*out) if groups else joined.agg(*out)
 
 
-#: A key with no more rows than this is never hot.
+#: A key with no more rows than this is never hot, as a task takes so many in no time. Steers the plan, never the result.
 WARM_ROWS = 1000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, rows: int | None = None) -> list:
-    """The keys that hold at least ``share`` of the rows with a key: at most 1/share values, whatever the size.
+def _named(keys: str | Sequence[str]) -> list[str]:
+    return [keys] if isinstance(keys, str) else list(keys)
+
+
+def hot_keys(df: DataFrame, key: str | Sequence[str], share: float = HOT_SHARE, rows: int | None = None) -> list:
+    """The keys (tuples, if ``key`` names several columns) that hold at least ``share`` of the rows with a key: at most 1/share of them.
 
     ``rows``: the number of rows if known; a table too small to have a hot key isn't looked at.
     """
     if rows is not None and rows <= WARM_ROWS:
         return []
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
-    most = counts.orderBy(F.desc("count"), key).limit(int(1 / share)).collect()
+    keys = _named(key)
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__count"))
+    most = counts.orderBy(F.desc("__count"), *keys).limit(int(1 / share)).collect()
     if not most:
         return []
-    n = counts.agg(F.sum("count")).first()[0] if len(most) == int(1 / share) else sum(r["count"] for r in most)
-    return [r[key] for r in most if r["count"] >= share * n and r["count"] > WARM_ROWS]
+    n = counts.agg(F.sum("__count")).first()[0] if len(most) == int(1 / share) else sum(r["__count"] for r in most)
+    hot = [r[:-1] for r in most if r["__count"] >= share * n and r["__count"] > WARM_ROWS]
+    return hot if not isinstance(key, str) else [r[0] for r in hot]
+
+
+def sent_whole(df: DataFrame) -> bool:
+    """Whether Spark, by its own check of the size, would send ``df`` to all executors rather than shuffle the other side of a join."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return limit > 0 and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+
+
+def _is_hot(keys: Sequence[str], hot: Sequence) -> Column:
+    """Whether a row's key is among the hot ones; several columns are compared by hash, as one salt more does no harm."""
+    if len(keys) == 1:
+        return F.col(keys[0]).isin([h[0] if isinstance(h, tuple) else h for h in hot])
+    spark_hash = F.xxhash64(*[F.col(k) for k in keys])
+    return reduce(Column.__or__, [spark_hash == F.xxhash64(*[F.lit(v) for v in h]) for h in hot])
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: Sequence | None = None, salts: int = 64) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], how: str = "inner", hot: Sequence | None = None, salts: int = 64) -> DataFrame:
     """Join ``left`` with ``right`` (one row per key) when few keys may hold most of ``left``.
 
     Rows of a hot key are spread over ``salts`` partitions by a hash of the whole row, and only that key's right row is
-    repeated for them. ``hot``: the hot keys if known, else they are counted first. ``how``: inner, left, left_semi or
-    left_anti. The salt is a function of the row, so a re-run task sends each row to the same place.
+    repeated for them. ``hot``: the hot keys if known, else they are counted first, unless Spark sends ``right`` to all executors
+    anyway (:func:`sent_whole`), where no row of ``left`` moves. ``how``: inner, left, left_semi or left_anti.
+    The salt is a function of the row, so a re-run task sends each row to the same place.
     """
-    hot = hot_keys(left, key) if hot is None else list(hot)
+    keys = _named(key)
+    if hot is None:
+        hot = [] if sent_whole(right) else hot_keys(left, keys)
     if not hot:
-        return left.join(right, key, how)
-    spread = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    every = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return left.withColumn("__salt", spread).join(right.withColumn("__salt", F.explode(every)), [key, "__salt"], how).drop("__salt")
+        return left.join(right, keys, how)
+    is_hot = _is_hot(keys, list(hot))
+    fields = [F.to_json(f"`{f.name}`") if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`") for f in left.schema.fields if not isinstance(f.dataType, T.VariantType)]
+    spread = F.when(is_hot, F.pmod(F.xxhash64(*fields), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return left.withColumn("__salt", spread).join(right.withColumn("__salt", F.explode(every)), [*keys, "__salt"], how).drop("__salt")
 
 
 #: A key with more rows on the right side of :func:`block_join` is split into blocks of about this size.
 BLOCK_ROWS = 4000
 
 
-def block_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: str, rows: int = BLOCK_ROWS) -> DataFrame:
+def block_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: str, rows: int = BLOCK_ROWS, *, keep_keys: bool = False) -> DataFrame:
     """Inner equi-join in which a crowded key is split: its right rows fall into blocks, its left rows visit each block.
 
-    So no task meets more than ``rows`` right rows of a key at a time, however many there are. Crowded keys are counted
-    first; there are at most 1/rows as many as right rows, and Spark decides by their size how to join them in.
+    So no task meets more than ``rows`` right rows of a key at a time, however many there are. The right rows per key are counted
+    first, with what tasks have added up themselves; only crowded keys are kept, at most 1/``rows`` as many as right rows. Without any the
+    plain join is all there is; else rows learn their number of blocks by a join whose hot keys are salted. ``keep_keys``: the keys
+    stay in the result.
     """
     keys = list(keys)
-    crowded = right.groupBy(*keys).count().where(F.col("count") > rows).select(*keys, F.ceil(F.col("count") / rows).alias("__parts"))
+    counts = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__count"))
+    seen = Observation()
+    crowded = materialize(counts.observe(seen, F.sum("__count").alias("rows"), F.max("__count").alias("most")).where(F.col("__count") > rows), "crowded")
+    if (seen.get["most"] or 0) <= rows:
+        discard(crowded)
+        joined = left.join(right, keys)
+        return joined if keep_keys else joined.drop(*keys)
+    limit = max(WARM_ROWS, int(seen.get["rows"] * HOT_SHARE))
+    hot = [r[:-1] for r in crowded.where(F.col("__count") >= limit).collect()]  # at most 1 / HOT_SHARE of them
     parts = F.coalesce(F.col("__parts"), F.lit(1).cast("bigint"))
-    visits = left.join(crowded, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("__parts")
-    spread = right.join(crowded, keys, "left").withColumn("__part", F.pmod(F.xxhash64(spread_by), parts)).drop("__parts")
-    return visits.join(spread, [*keys, "__part"]).drop("__part", *keys)
+    blocks = crowded.select(*keys, F.ceil(F.col("__count") / rows).alias("__parts"))
+    visits = skew_join(left, blocks, keys, "left", hot).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("__parts")
+    spread = skew_join(right, blocks, keys, "left", hot).withColumn("__part", F.pmod(F.xxhash64(spread_by), parts)).drop("__parts")
+    joined = visits.join(spread, [*keys, "__part"]).drop("__part")
+    return joined if keep_keys else joined.drop(*keys)

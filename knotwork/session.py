@@ -7,6 +7,7 @@ executor costs a re-read and never a recomputation of earlier rounds.
 from __future__ import annotations
 
 import atexit
+import logging
 import os
 import shutil
 import tempfile
@@ -16,6 +17,8 @@ from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
+log = logging.getLogger("knotwork")
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -105,20 +108,38 @@ def materialize_seen(df: DataFrame, label: str, *metrics: Column) -> tuple[DataF
 def discard(df: DataFrame | None) -> None:
     """Delete the files of a frame made by :func:`materialize`; nothing may read it afterwards."""
     path = getattr(df, "_knotwork_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Remove a path of ours, whatever file system it lies in."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     if path in _written:
         _written.remove(path)
 
 
-@atexit.register
-def _sweep() -> None:
-    for path in _written:
+def sweep(spark: SparkSession | None = None) -> None:
+    """Delete all intermediate tables of this program that are still there; what was made from them can't be read any longer.
+
+    Runs by itself when the program ends. Call it before stopping a session whose shared folder isn't a local one.
+    """
+    spark = spark or SparkSession.getActiveSession()
+    for path in list(_written):
         url = urlparse(path)
-        if url.scheme in ("", "file"):
-            shutil.rmtree(url.path, ignore_errors=True)
+        try:
+            if url.scheme in ("", "file"):
+                shutil.rmtree(url.path, ignore_errors=True)
+                _written.remove(path)
+            elif spark is not None:
+                _delete(spark, path)
+        except Exception as error:  # the session may be gone: what is left is named, not hidden
+            log.warning("%s is left over: %s", path, error)
+
+
+@atexit.register
+def _at_exit() -> None:
+    sweep()
     for root in _local_root:
         shutil.rmtree(root, ignore_errors=True)

@@ -81,3 +81,35 @@ def test_block_join(spark, rows):
     left = spark.range(40).select((F.col("id") % 4).alias("k"), F.col("id").alias("a"))
     right = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("b"))
     assert rows(block_join(left, right, ["k"], "b", 50), "a", "b") == rows(left.join(right, "k"), "a", "b")
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Plan as for large tables."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_block_join_splits_a_key_of_a_third(spark, rows, no_broadcast):
+    """One pair of keys holds a third of the rows: it is met block by block, and looking up the blocks is salted."""
+    right = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), F.lit("x").alias("g"), F.col("id").alias("b"))
+    left = spark.createDataFrame([(1, "x", 10), (1, "y", 11), (4, "x", 12), (None, "x", 13)], "k bigint, g string, a bigint")
+    got = block_join(left, right, ["k", "g"], "b", 500, keep_keys=True)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "__part" in text and "__salt" in text
+    assert rows(got, "k", "g", "a", "b") == rows(left.join(right, ["k", "g"]), "k", "g", "a", "b")
+    assert "__part" not in block_join(left, right.where("k <> 1"), ["k", "g"], "b", 500)._jdf.queryExecution().executedPlan().toString()
+    assert block_join(left, right.limit(0), ["k", "g"], "b", 500).count() == 0
+
+
+def test_skew_join_by_two_columns(spark, rows, no_broadcast):
+    left = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), F.when(F.col("id") % 7 > 0, "x").alias("g"), "id", F.create_map(F.lit("m"), F.col("id")).alias("m"))
+    right = left.select("k", "g").distinct().withColumn("w", F.xxhash64("k", "g")).where("k % 2 = 1")
+    assert hot_keys(left, ["k", "g"]) == [(1, "x")]
+    for how in ("inner", "left", "left_anti"):
+        want, got = left.join(right, ["k", "g"], how), skew_join(left, right, ["k", "g"], how)
+        assert "__salt" in got._jdf.queryExecution().executedPlan().toString()
+        kept = [c for c in want.columns if c != "m"]
+        assert rows(got, *kept) == rows(want, *kept)
