@@ -216,27 +216,46 @@ def skew_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], how:
 BLOCK_ROWS = 4000
 
 
-def block_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: str, rows: int = BLOCK_ROWS, *, keep_keys: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class Crowded:
+    """Keys with more than ``rows`` rows and the number of blocks of each (``blocks``, None if there is none), and the hot ones among them."""
+
+    rows: int
+    blocks: DataFrame | None = None
+    hot: tuple = ()
+
+    @staticmethod
+    def of(right: DataFrame, keys: Sequence[str], rows: int = BLOCK_ROWS) -> Crowded:
+        """Count the rows of each key, with what tasks have added up themselves. At most 1/``rows`` as many keys as rows are kept."""
+        seen = Observation()
+        counts = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__count"))
+        many = materialize(counts.observe(seen, F.sum("__count").alias("rows"), F.max("__count").alias("most")).where(F.col("__count") > rows), "crowded")
+        if (seen.get["most"] or 0) <= rows:
+            discard(many)
+            return Crowded(rows)
+        limit = max(WARM_ROWS, int(seen.get["rows"] * HOT_SHARE))
+        hot = [tuple(r[:-1]) for r in many.where(F.col("__count") >= limit).collect()]  # at most 1 / HOT_SHARE of them
+        return Crowded(rows, many.select(*keys, F.ceil(F.col("__count") / rows).alias("__parts")), tuple(hot))
+
+    def renamed(self, keys: Sequence[str]) -> Crowded:
+        """The same for keys of other names."""
+        return self if self.blocks is None else Crowded(self.rows, self.blocks.toDF(*keys, "__parts"), self.hot)
+
+
+def block_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: str, rows: int = BLOCK_ROWS, *, keep_keys: bool = False, crowded: Crowded | None = None) -> DataFrame:
     """Inner equi-join in which a crowded key is split: its right rows fall into blocks, its left rows visit each block.
 
-    So no task meets more than ``rows`` right rows of a key at a time, however many there are. The right rows per key are counted
-    first, with what tasks have added up themselves; only crowded keys are kept, at most 1/``rows`` as many as right rows. Without any the
-    plain join is all there is; else rows learn their number of blocks by a join whose hot keys are salted. ``keep_keys``: the keys
-    stay in the result.
+    So no task meets more than ``rows`` right rows of a key at a time, however many there are. Crowded keys are counted first, unless
+    ``crowded`` tells them. Without any the plain join is all there is; else rows learn their number of blocks by a join whose hot keys are
+    salted. ``keep_keys``: the keys stay in the result.
     """
     keys = list(keys)
-    counts = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__count"))
-    seen = Observation()
-    crowded = materialize(counts.observe(seen, F.sum("__count").alias("rows"), F.max("__count").alias("most")).where(F.col("__count") > rows), "crowded")
-    if (seen.get["most"] or 0) <= rows:
-        discard(crowded)
+    crowded = crowded or Crowded.of(right, keys, rows)
+    if crowded.blocks is None:
         joined = left.join(right, keys)
         return joined if keep_keys else joined.drop(*keys)
-    limit = max(WARM_ROWS, int(seen.get["rows"] * HOT_SHARE))
-    hot = [r[:-1] for r in crowded.where(F.col("__count") >= limit).collect()]  # at most 1 / HOT_SHARE of them
     parts = F.coalesce(F.col("__parts"), F.lit(1).cast("bigint"))
-    blocks = crowded.select(*keys, F.ceil(F.col("__count") / rows).alias("__parts"))
-    visits = skew_join(left, blocks, keys, "left", hot).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("__parts")
-    spread = skew_join(right, blocks, keys, "left", hot).withColumn("__part", F.pmod(F.xxhash64(spread_by), parts)).drop("__parts")
+    visits = skew_join(left, crowded.blocks, keys, "left", crowded.hot).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("__parts")
+    spread = skew_join(right, crowded.blocks, keys, "left", crowded.hot).withColumn("__part", F.pmod(F.xxhash64(spread_by), parts)).drop("__parts")
     joined = visits.join(spread, [*keys, "__part"]).drop("__part")
     return joined if keep_keys else joined.drop(*keys)
