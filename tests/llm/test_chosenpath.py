@@ -77,3 +77,25 @@ def test_min_size_and_empty(spark):
 
 def test_trees():
     assert trees_for(0.6, 0.9999) > trees_for(0.6, 0.9) >= trees_for(0.9, 0.9) >= 1
+
+
+def test_recall_at_the_default(spark):
+    """Subsets of 0.6 of a larger set, the pairs that are easiest to miss, on tokens that a third of all records share."""
+    rng = random.Random(11)
+    data = []
+    for k in range(600):
+        big = [1, 2, *rng.sample(range(10, 20000), 18)]
+        data += [(2 * k, big), (2 * k + 1, rng.sample(big, 12))]
+    found = similar_sets(spark.createDataFrame(data, "id bigint, ids array<bigint>"), "id", "ids", 0.6, node_rows=100)
+    want = brute(data, None, 0.6)
+    got = {tuple(r) for r in found.pairs().collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) >= 600
+
+
+def test_large_sets(spark):
+    """Sets beyond the wide bits' limit, alike and not, among small ones."""
+    rng = random.Random(12)
+    data = [(k, rng.sample(range(3000), rng.randint(100, 400))) for k in range(120)]
+    data += [(200 + k, v[: int(len(v) * rng.uniform(0.55, 1))]) for k, v in data[:60]] + [(400 + k, rng.sample(range(3000), rng.randint(40, 70))) for k in range(100)]
+    found = similar_sets(spark.createDataFrame(data, "id bigint, ids array<bigint>"), "id", "ids", 0.6, node_rows=50, recall=0.99999)
+    assert {tuple(r) for r in found.pairs().collect()} == brute(data, None, 0.6)
