@@ -8,18 +8,13 @@ round back to the first.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.skew import HOT_SHARE, WARM_ROWS, hot_keys, skew_join
 from ..session import discard, materialize_seen
 
 MAX_ROUNDS = 200
-#: A remnant of at most so many edges goes through its last rounds inside one task, whatever the size of the input.
-LAST_EDGES = 5000
 
 
 def _order(v: Column, turn: int) -> Column:
@@ -32,23 +27,6 @@ def _relabel(edges: DataFrame, hooks: DataFrame, end: str, hot: list) -> DataFra
     return skew_join(edges, to, end, "inner", hot).select(*other, F.col(f"r{end}").alias(end))
 
 
-def _last_rounds(frame: pd.DataFrame) -> pd.DataFrame:
-    """The same contraction on a small remnant, in memory: (v, r) with the vertex that each one ends in."""
-    ids, at = np.unique(np.concatenate([frame["a"].to_numpy(), frame["b"].to_numpy()]), return_inverse=True)
-    u, w = at[: len(frame)], at[len(frame) :]
-    end, order = np.arange(len(ids)), np.random.default_rng(len(ids))
-    while len(u):
-        place = order.permutation(len(ids))
-        vertex = np.argsort(place)
-        first = place.copy()
-        np.minimum.at(first, u, place[w])
-        np.minimum.at(first, w, place[u])
-        hook = vertex[first]
-        end, u, w = hook[end], hook[u], hook[w]
-        u, w = np.minimum(u, w)[u != w], np.maximum(u, w)[u != w]
-    return pd.DataFrame({"v": ids, "r": ids[end]})
-
-
 def connected_groups(links: DataFrame, a: str, b: str, node: str = "node_id", group: str = "group_id") -> DataFrame:
     """(``node``, ``group``): every id that has a link to another id, with the smallest id of its group.
 
@@ -65,7 +43,7 @@ def connected_groups(links: DataFrame, a: str, b: str, node: str = "node_id", gr
     edges, seen = materialize_seen(canonical(links.where(x != y).select(x.alias("a"), y.alias("b"))), "links", count)
     rounds: list[DataFrame] = []
     sizes: list[int] = []
-    while seen["n"] > LAST_EDGES:
+    while seen["n"]:
         if len(rounds) >= MAX_ROUNDS:
             raise RuntimeError("the contraction doesn't end")
         turn, limit = len(rounds), max(WARM_ROWS, int(seen["n"] * HOT_SHARE))
@@ -80,11 +58,6 @@ def connected_groups(links: DataFrame, a: str, b: str, node: str = "node_id", gr
         sizes.append(of["n"])
         discard(edges)
         edges = after
-    if seen["n"]:
-        schema = T.StructType([T.StructField("v", kind), T.StructField("r", kind)])
-        last, of = materialize_seen(edges.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda pdf: _last_rounds(pdf[["a", "b"]]), schema), "hooks", count)
-        rounds.append(last)
-        sizes.append(of["n"])
     if not rounds:
         return edges.select(F.col("a").alias(node), F.col("b").alias(group))
     label = rounds[-1].select("v", F.col("r").alias("g"))

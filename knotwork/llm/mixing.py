@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 
-#: Rows of one source and pass that one task accumulates.
+#: Rows of one source and pass that one task accumulates, roughly. The order within a pass is the same whatever its value.
 RUN_ROWS = 100_000
+_FLIP = -(1 << 63)
 
 
 def source_name(col: Column | str) -> Column:
@@ -77,31 +78,39 @@ def mix_sources(
     (time, weight) knots per source, linear between them; without one the weight is constant. Only its shape counts.
     Records of unknown size, or of size 0 and less, and of sources without a target take no part. Names are compared by
     :func:`source_name`; repeated names in ``targets`` and NULLs there are errors of the caller and raise.
+
+    The report is read from the positions assigned: a source is short if every record of all its allowed passes has one
+    and their sizes stay below what was wanted.
     """
     name = source_name(F.col(source_col))
-    sized = docs.select(name.alias("source"), F.col(id_col).alias("id"), F.col(size_col).cast("bigint").alias("size")).where("size > 0")
-    sized = materialize(sized, "sized")
+    sized = docs.select(name.alias("source"), F.col(id_col).alias("id"), F.col(size_col).cast("bigint").alias("size"))
+    sized = materialize(sized, "sized")  # before the filter, which would have sizes computed once for itself
+    kept = sized.where("size > 0")
     wanted = targets.select(source_name("source").alias("source"), "target_share", "max_repeats").collect()  # a setting: a row per source
     if len({r[0] for r in wanted}) < len(wanted) or any(v is None for r in wanted for v in r):
         raise ValueError("targets name each source once, with a share and a number of repeats")
-    own = {r["source"]: r for r in sized.where(F.col("source").isin([r["source"] for r in wanted])).groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
+    ours = F.when(F.col("source").isin([r["source"] for r in wanted]), F.col("source"))  # NULL: all others
+    own = {r["source"]: r for r in kept.groupBy(ours.alias("source")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
     if total is None:
-        total = sized.agg(F.sum("size")).first()[0] or 0
+        total = sum(r["n"] for r in own.values())
     spark, rows = docs.sparkSession, []
     for r in wanted:
         have, want = (own[r["source"]]["n"] if r["source"] in own else 0), r["target_share"] * total
         give = min(want, float(have * r["max_repeats"]))
         knots = (schedules or {}).get(r["source"]) or [(0.0, 1.0), (1.0, 1.0)]
-        rows.append((r["source"], float(r["target_share"]), int(r["max_repeats"]), have, want, give, have * r["max_repeats"] < want, math.ceil(give / have) if have else 0, _segments(knots)))
+        n = own[r["source"]]["rows"] if r["source"] in own else 0
+        rows.append((r["source"], float(r["target_share"]), int(r["max_repeats"]), have, n, want, give, math.ceil(give / have) if have else 0, _segments(knots)))
     plan = spark.createDataFrame(
         rows,
-        "source string, target_share double, max_repeats int, own_size bigint, wanted double, planned double, short boolean, passes int,"
+        "source string, target_share double, max_repeats int, own_size bigint, own_records bigint, wanted double, planned double, passes int,"
         " segments array<struct<t0: double, width: double, w0: double, w1: double, done: double>>",
     )
     few = F.broadcast(plan)  # one row per target
     bits = max(0, math.ceil(math.log2(max([r["rows"] for r in own.values()], default=1) / RUN_ROWS)))
-    drawn = sized.join(few.where("passes > 0").select("source", "passes"), "source").withColumn("pass", F.explode(F.expr("sequence(0, passes - 1)"))).drop("passes")
-    drawn = drawn.withColumn("__h", F.xxhash64("id", "pass", F.lit(seed))).withColumn("__run", F.shiftrightunsigned("__h", 64 - bits) if bits else F.lit(0).cast("bigint"))
+    drawn = kept.join(few.where("passes > 0").select("source", "passes"), "source").withColumn("pass", F.explode(F.expr("sequence(0, passes - 1)"))).drop("passes")
+    # each pass in the order of the hash as an unsigned number, whose top bits give the run
+    h = F.xxhash64("id", "pass", F.lit(seed))
+    drawn = drawn.withColumn("__h", h.bitwiseXOR(F.lit(_FLIP))).withColumn("__run", F.shiftrightunsigned(F.col("__h").bitwiseXOR(F.lit(_FLIP)), 64 - bits) if bits else F.lit(0).cast("bigint"))
     runs = drawn.groupBy("source", "pass", "__run").agg(F.sum("size").alias("__n"))
     runs = runs.select("source", "pass", "__run", (F.sum("__n").over(W.partitionBy("source", "pass").orderBy("__run")) - F.col("__n")).alias("__before"))
     inside = F.sum("size").over(W.partitionBy("source", "pass", "__run").orderBy("__h", "id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
@@ -110,9 +119,12 @@ def mix_sources(
     drawn = drawn.withColumn("__c", middle).where(F.col("__c") <= F.col("planned"))
     drawn = drawn.select("source", "id", "pass", "size", time_of(F.col("__c") / F.col("planned"), F.col("segments")).alias("time"))
     drawn = materialize(drawn, "drawn")
+    discard(sized)
     given = drawn.groupBy("source").agg(F.sum("size").alias("given"), F.count(F.lit(1)).alias("n_records"))
     whole = F.sum("given").over(W.partitionBy(F.lit(0)))  # a row per target
     report = plan.drop("segments", "passes").join(given, "source", "left").na.fill(0, ["given", "n_records"])
     report = report.withColumn("actual_share", F.coalesce(F.try_divide(F.col("given").cast("double"), whole), F.lit(0.0)))
+    spent = F.col("n_records") >= F.col("own_records") * F.col("max_repeats")
+    report = report.withColumn("short", spent & (F.col("given") < F.col("wanted")))
     order = drawn.repartitionByRange("time", "source", "id", "pass").sortWithinPartitions("time", "source", "id", "pass")
     return Mix(order.withColumnRenamed("id", id_col), report)

@@ -9,6 +9,7 @@ Items then find their container from their rank among the items of equal length.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -22,8 +23,9 @@ from ..session import materialize
 
 #: Units a window is divided into, lengths in a combination, share of the total length kept back to fill gaps.
 UNITS, PARTS, HELD_BACK = 64, 4, 0.05
-#: Rows of one length ranked in one task.
+#: Rows of one length ranked in one task, roughly. The ranks are the same whatever its value.
 RANK_ROWS = 200_000
+_FLIP = -(1 << 63)
 
 
 @dataclass
@@ -247,37 +249,45 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
     start = F.col("piece") * capacity
     cut = materialize(cut.select(id_col, "piece", "n_pieces", start.alias("start"), F.least(F.col("__n") - start, F.lit(capacity)).alias("size")), "pieces")
     histogram = {r["size"]: r["count"] for r in cut.where("size > 0").groupBy("size").count().collect()}  # at most `capacity` rows
+    offsets = np.zeros(capacity + 1, dtype=np.int64)  # items shorter than each length: rank and length in one number
+    at = 0
+    for size in range(1, capacity + 1):
+        offsets[size] = at
+        at += histogram.get(size, 0)
     bounds, first = [], 0
     used: Counter = Counter()
     for bundle in plan_containers(histogram, capacity):
         for size, m in bundle.holds.items():
-            bounds.append((size, used[size], first, m))
+            bounds.append((offsets[size] + used[size], first, m))
             used[size] += m * bundle.count
         first += bundle.count
     if used != Counter(histogram):
         raise AssertionError("the plan doesn't use up the histogram")
-    table = np.array(sorted(bounds), dtype=np.int64).reshape(-1, 4)
-    plan = items.sparkSession.sparkContext.broadcast(table)  # bounded by the capacity, not by the data
+    table = np.array(sorted(bounds), dtype=np.int64).reshape(-1, 3)
+    plan = items.sparkSession.sparkContext.broadcast((offsets, *np.ascontiguousarray(table.T)))  # bounded by the capacity, not by the data
 
     @F.pandas_udf("bigint")
     def container(size: pd.Series, rank: pd.Series) -> pd.Series:
-        t = plan.value
+        base, start, first, each = plan.value
         out = pd.Series(pd.NA, index=size.index, dtype="Int64")
         some = (size > 0).to_numpy()
         if some.any():
-            s, r = size.to_numpy()[some], rank.to_numpy()[some]
-            keys = (t[:, 0].astype(object) << 48 | t[:, 1].astype(object)).astype(np.uint64) if len(t) else t[:, 0].astype(np.uint64)
-            at = np.searchsorted(keys, (s.astype(np.uint64) << np.uint64(48)) | r.astype(np.uint64), side="right") - 1
-            out[some] = t[at, 2] + (r - t[at, 1]) // t[at, 3]
+            key = base[size.to_numpy()[some]] + rank.to_numpy()[some]
+            at = np.searchsorted(start, key, side="right") - 1
+            out[some] = first[at] + (key - start[at]) // each[at]
         return out
 
-    parts = max(1, -(-max(histogram.values(), default=0) // RANK_ROWS))
-    part = F.pmod(F.xxhash64(id_col, "piece"), F.lit(parts))
-    placed = cut.withColumn("__part", part)
-    before = placed.groupBy("size", "__part").agg(F.count(F.lit(1)).alias("__c"))
-    before = before.select("size", "__part", (F.sum("__c").over(W.partitionBy("size").orderBy("__part")) - F.col("__c")).alias("__before"))
-    placed = placed.withColumn("__in", F.row_number().over(W.partitionBy("size", "__part").orderBy(id_col, "piece")) - 1)
-    placed = placed.join(before, ["size", "__part"]) if parts > 1 else placed.withColumn("__before", F.lit(0))
+    # items of one length rank in the order of a hash as an unsigned number, whose top bits give the part that one task ranks
+    bits = max(0, math.ceil(math.log2(max(histogram.values(), default=1) / RANK_ROWS)))
+    h = F.xxhash64(id_col, "piece")
+    placed = cut.withColumn("__h", h.bitwiseXOR(F.lit(_FLIP))).withColumn("__part", F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("bigint"))
+    placed = placed.withColumn("__in", F.row_number().over(W.partitionBy("size", "__part").orderBy("__h", id_col, "piece")) - 1)
+    if bits:
+        before = placed.groupBy("size", "__part").agg(F.count(F.lit(1)).alias("__c"))
+        before = before.select("size", "__part", (F.sum("__c").over(W.partitionBy("size").orderBy("__part")) - F.col("__c")).alias("__before"))
+        placed = placed.join(before, ["size", "__part"])
+    else:
+        placed = placed.withColumn("__before", F.lit(0))
     return placed.select(id_col, "piece", "n_pieces", "start", "size", container("size", F.col("__before") + F.col("__in")).alias("container"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.skew import skew_join
@@ -123,8 +124,10 @@ def _sized(spark: SparkSession, sf: str, *more: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that the packing had to cut: longer than a container by themselves."""
-    return pack(_sized(spark, sf), "doc_id", "n_tokens", CAPACITY).where("n_pieces > 1 and piece = 0").select("doc_id")
+    """Documents that the packing had to cut: their pieces lie in more than one container."""
+    placed = pack(_sized(spark, sf), "doc_id", "n_tokens", CAPACITY).groupBy("doc_id")
+    placed = placed.agg(F.max("piece").alias("last"), F.min("container").alias("lowest"), F.max("container").alias("highest"))
+    return placed.where("last > 0 and lowest < highest").select("doc_id")
 
 
 def p6_assignment(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,6 +142,20 @@ def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("n_containers"), fewest, F.avg("fill").alias("mean_fill"), F.min("fill").alias("min_fill"), F.max("filled").alias("max_filled"))
 
 
+def p6_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether every token of every document has one place, no container is above the capacity or empty, and there are at most 1 % more than the fewest."""
+    sized = materialize(_sized(spark, sf), "sized")
+    placed = materialize(pack(sized, "doc_id", "n_tokens", CAPACITY), "placed")
+    ends = placed.where("size > 0").groupBy("doc_id").agg(F.sum("size").alias("n"), F.max(F.col("start") + F.col("size")).alias("end"), F.count_distinct("start").alias("starts"), F.count(F.lit(1)).alias("pieces"))
+    kept = sized.where("n_tokens > 0").join(ends, "doc_id", "left")
+    whole = kept.agg(F.count(F.lit(1)).alias("n_docs"), F.bool_and(F.coalesce((F.col("n") == F.col("n_tokens")) & (F.col("end") == F.col("n_tokens")) & (F.col("starts") == F.col("pieces")), F.lit(False))).alias("placed_once"))
+    per = containers(placed, CAPACITY)
+    fewest = F.ceil(F.sum("filled") / CAPACITY)
+    n = F.count(F.lit(1))
+    held = per.agg((F.max("filled") <= CAPACITY).alias("within"), (F.max("container") + 1 == n).alias("numbered"), (n <= F.ceil(fewest * 1.01)).alias("tight"))
+    return whole.join(F.broadcast(held))  # one row each
+
+
 # --- p7: mixing sources ---
 
 #: A curriculum: short notes fade out, reference works come in late. Only the shape over time counts.
@@ -164,6 +181,22 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).report
 
 
+def p7_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source: whether what it gives is within one record of what is wanted, or all it has; passes within the cap and filled one after the other; no
+    record twice in a pass; times from 0 to 1 whose order is that of the passes."""
+    mix = _mix(spark, sf)
+    order = materialize(mix.order, "order")
+    per_pass = order.groupBy("source", "pass").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"), F.min("time").alias("lo"), F.max("time").alias("hi"), F.max("size").alias("longest"))
+    after = W.partitionBy("source").orderBy("pass")  # at most max_repeats rows
+    per_pass = per_pass.withColumn("before", F.lag("hi").over(after)).withColumn("full", F.lag("n").over(after))
+    sound = (F.col("docs") == F.col("n")) & (F.coalesce(F.col("before") <= F.col("lo"), F.lit(True))) & (F.coalesce(F.col("full") >= F.col("n"), F.lit(True))) & (F.col("lo") >= 0) & (F.col("hi") <= 1)
+    seen = per_pass.groupBy("source").agg(F.bool_and(sound).alias("sound"), F.max("pass").alias("last"), F.max("longest").alias("longest"))
+    r = mix.report.join(seen, "source", "left").na.fill({"sound": True, "last": -1, "longest": 0})
+    given = F.abs(F.col("given") - F.col("wanted")) <= F.col("longest")
+    everything = F.col("given") == F.col("own_size") * F.col("max_repeats")
+    return r.select("source", (given | everything).alias("as_wanted"), (F.col("last") < F.col("max_repeats")).alias("within_cap"), "sound")
+
+
 # --- p8: texts that look the same ---
 
 
@@ -198,9 +231,11 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_assignment": p6_assignment,
     "p6_fill": p6_fill,
+    "p6_check": p6_check,
     "p7_found": p7_found,
     "p7_order": p7_order,
     "p7_report": p7_report,
+    "p7_check": p7_check,
     "p8_found": p8_found,
     "p8_classes": p8_classes,
     "p8_full_form": p8_full_form,
@@ -267,6 +302,9 @@ SQL = {
       FROM z JOIN c USING (cells)""",
     # No text is near the capacity: one beyond it has over 20,000 characters, another far fewer than 8,192.
     "p6_found": "SELECT doc_id FROM documents WHERE length(text) > 20000",
+    # What a right assignment shows, whichever it is; texts of at least one character have tokens.
+    "p6_check": "SELECT count(*) AS n_docs, true AS placed_once, true AS within, true AS numbered, true AS tight FROM documents WHERE text <> ''",
+    "p7_check": "SELECT source, true AS as_wanted, true AS within_cap, true AS sound FROM mix_targets",
     # No source is near its limit, so characters decide as tokens do.
     "p7_found": """WITH d AS (SELECT lower(trim(source)) AS source, length(text) AS n FROM documents WHERE text IS NOT NULL)
       SELECT t.source FROM mix_targets t LEFT JOIN d USING (source) GROUP BY t.source, target_share, max_repeats

@@ -73,3 +73,33 @@ def test_bad_settings_and_empty(docs, targets, spark):
         mix_sources(docs, "doc", "src", "n", targets, {"web": [(0.0, 0.0), (1.0, 0.0)]})
     empty = mix_sources(docs.limit(0), "doc", "src", "n", targets)
     assert empty.order.count() == 0 and empty.report.count() == 3
+
+
+def test_order_does_not_depend_on_the_runs(docs, targets, monkeypatch, spark):
+    """The same documents in the same order, however many rows a task accumulates."""
+    got = []
+    for run_rows in (100_000, 700, 50):
+        monkeypatch.setattr(mixing, "RUN_ROWS", run_rows)
+        got.append([tuple(r) for r in mix_sources(docs, "doc", "src", "n", targets).order.collect()])
+    assert got[0] == got[1] == got[2] and len(got[0]) > 1000
+
+
+def test_sizes_are_computed_once(spark, targets):
+    """A size that comes from a function is written before it is filtered on."""
+    from pyspark.sql.types import LongType
+
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf(LongType())
+    def length(x):
+        runs.add(1)
+        return len(x)
+
+    texts = spark.createDataFrame([(k, "web", "x" * (k % 7)) for k in range(200)], "doc bigint, src string, text string")
+    mix_sources(texts.select("doc", "src", length("text").alias("n")), "doc", "src", "n", targets).report.collect()
+    assert runs.value == 200
+
+
+def test_short_is_read_from_what_was_drawn(docs, targets):
+    text = mix_sources(docs, "doc", "src", "n", targets).report.where("short")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in text and "n_records" in text

@@ -1,5 +1,6 @@
 """Packing: nothing lost, nothing cut without need, capacity kept, little space unused."""
 
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -85,3 +86,24 @@ def test_pack_empty(spark):
     assert pack(df, "id", "n", 8).count() == 0
     with pytest.raises(ValueError):
         pack(df, "id", "n", 0)
+
+
+def test_containers_do_not_depend_on_the_parts(spark, monkeypatch):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(k, rng.choice([3, 5, rng.randint(1, 90)])) for k in range(2000)], "id bigint, n bigint")
+    got = []
+    for rank_rows in (200_000, 100, 7):
+        monkeypatch.setattr(packing, "RANK_ROWS", rank_rows)
+        got.append(sorted(tuple(r) for r in pack(df, "id", "n", 64).collect()))
+    assert got[0] == got[1] == got[2]
+
+
+def test_found_documents_are_read_from_the_containers(spark):
+    """The rows of p6_found need the assignment: the function that gives the container is in the plan."""
+    from knotwork.llm.queries import p6_found
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    text = p6_found(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "container(" in text and "row_number" in text
