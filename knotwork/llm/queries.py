@@ -13,7 +13,7 @@ from .contraction import connected_groups
 from .mixing import Mix, mix_sources
 from .packing import containers, pack
 from .sketch import combine, percentiles, sketch
-from .textforms import HYPHENS, IGNORABLE, SAME_SHAPE, look_alike_classes, look_alike_pairs, normalized
+from .textforms import look_alike_classes, look_alike_pairs, normalized
 from .tokens import token_count
 
 ACCURACY = 0.01
@@ -269,13 +269,17 @@ def _chr(codes: object) -> str:
     return "".join(map(chr, codes))
 
 
+#: Fixed values, listed for the SQL on their own: letters of other scripts a reader takes for Latin ones, with marks and without.
+_THERE = "ɡɑÐƉПГфасеорхуіјѕһԁԛԝАВЕКМНОРСТУХІЈЅкΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυκγёЁїЇѐЀάίόύΆΈΊΌΎϊϋΪΫµ"
+_HERE = "gaĐĐΠΓφaceopxyijshdqwABEKMHOPCTYXIJSkABEZHIKMNOPTYXaivopukyëËïÏèÈáíóúÁÉÍÓÝïüÏŸμ"
+
+
 def _visual_sql(text: str) -> str:
     """The visual form in SQL, written on its own: compose, map single characters, take joined letters apart, compose again."""
-    wide = _chr(range(0xFF01, 0xFF5F))
-    there = wide + "".join(a for a, _ in SAME_SHAPE) + HYPHENS[:2] + "ёЁїЇѐЀάίόύΆΈΊΌΎϊϋΪΫµ"
-    here = _chr(range(0x21, 0x7F)) + "".join(b for _, b in SAME_SHAPE) + "--" + "ëËïÏèÈáíóúÁÉÍÓÝïüÏŸμ"
+    there = _chr(range(0xFF01, 0xFF5F)) + _THERE + "‐‑⁃﹣"
+    here = _chr(range(0x21, 0x7F)) + _HERE + "----"
     blank = "[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
-    gone = "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in IGNORABLE) + "]"
+    gone = "[\\x{AD}\\x{34F}\\x{61C}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{3164}\\x{FE00}-\\x{FE0F}\\x{FEFF}\\x{FFA0}\\x{FFF0}-\\x{FFFB}\\x{E0000}-\\x{E0FFF}]"
     quote = lambda s: s.replace("'", "''")
     form = f"translate(nfc_normalize(regexp_replace({text}, '{gone}', '', 'g')), '{quote(there)}', '{quote(here)}')"
     for joined, parts in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("Ή", "H" + chr(0x301))):

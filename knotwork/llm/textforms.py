@@ -1,8 +1,10 @@
-"""One form for texts that look the same: compatibility normalisation, mapped white space, no invisible characters.
+"""One form for texts that look the same: compatibility composition, full case folding, mapped white space, no invisible characters.
 
-The full form is compatibility composition with full case folding. The visual form leaves what a reader can tell apart:
-case, raised and lowered digits, fractions, circled and spelled-out signs; it adds letters of different scripts that have one
-shape. Both work on distinct values: equal texts of a batch are normalised once.
+Both forms go through these steps: canonical decomposition; every character to its compatibility parts, white space to a blank, invisible
+characters to nothing; full case folding; composition; one blank for a run of them. The full form is the result. The visual form
+leaves what a reader can tell apart: it doesn't fold case and keeps raised and lowered digits, fractions, circled and spelled-out
+signs as they are; and it gives letters of different scripts that have one shape one letter, for which no Unicode form provides. Both work on
+distinct values: equal texts of a batch are normalised once.
 """
 
 from __future__ import annotations
@@ -18,16 +20,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import skew_join
+from ..operators.skew import Crowded, block_join, skew_join
 from ..session import materialize
 
 #: The code points with the property Default_Ignorable_Code_Point, as ranges.
 IGNORABLE = (
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F),
-    (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFFB),
+    (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8),
     (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 )
 
+#: Marks of annotations, which are not ignorable by that property but show nothing by themselves either.
+ANNOTATION = ((0xFFF9, 0xFFFB),)
+
 #: Letters that have the shape of a Latin letter, script by script, and the Latin letters in the same order.
 SAME_SHAPE = (
     ("АВЕЅІЈКМНОРСТУХҮԌԚԜѴӀ", "ABESIJKMHOPCTYXYGQWVI"),  # Cyrillic capitals
@@ -38,6 +43,8 @@ SAME_SHAPE = (
     ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"),  # Cherokee
     ("ⲞⲟⲢⲣⲤⲥⲎⲔⲘⲚⲦⲬ", "OoPpCcHKMNTX"),  # Coptic
     ("ɡɑÐƉ", "gaĐĐ"),  # Latin letters that differ in nothing a reader sees
+    ("ӔӕӘәкГПФф", "ÆæƏəkΓΠΦφ"),  # Cyrillic letters with the shape of other Latin letters, or of Greek ones
+    ("ⲄⲠⲪⲫⲖⲆⲐⲑ", "ΓΠΦφΛΔΘθ"),  # Coptic letters with the shape of Greek ones
 )
 #: Hyphens that have the shape of the ASCII one.
 HYPHENS = "‐‑⁃﹣－"
@@ -47,24 +54,19 @@ _LETTERS = {"compat", "square"}
 _SPACES = re.compile(r"\s+")
 
 
-def _visual_parts(ch: str) -> str | None:
-    """What a compatibility character is to a reader, or None if it looks different from its parts."""
+def _looks_like_its_parts(ch: str) -> bool:
+    """Whether a reader takes a compatibility character for its parts: forms of width, font and place, and joined letters."""
     mapping = unicodedata.decomposition(ch)
-    if not mapping.startswith("<"):
-        return None
     tag = mapping[1 : mapping.index(">")]
-    parts = unicodedata.normalize("NFKD", ch)
     if tag in _ALWAYS:
-        return parts
+        return True
     letter = unicodedata.category(ch)[0] == "L" or unicodedata.category(ch) == "Nl"
-    if tag in _LETTERS and letter and ch != "ſ" and all(unicodedata.category(p)[0] in "LM" for p in parts):
-        return parts
-    return None
+    return tag in _LETTERS and letter and ch != "ſ" and all(unicodedata.category(p)[0] in "LM" for p in unicodedata.normalize("NFKD", ch))
 
 
 @functools.cache
 def _table(visual: bool) -> dict[int, str | None]:
-    """What becomes of each character after canonical decomposition."""
+    """What becomes of each character after canonical decomposition: the step both forms share."""
     table: dict[int, str | None] = {}
     for code in range(sys.maxunicode + 1):
         ch = chr(code)
@@ -73,9 +75,9 @@ def _table(visual: bool) -> dict[int, str | None]:
             table[code] = " "
         elif kind == "Cc":
             table[code] = None
-        elif visual and code > 127 and (parts := _visual_parts(ch)):
-            table[code] = parts
-    for low, high in IGNORABLE:
+        elif code > 127 and unicodedata.decomposition(ch).startswith("<") and (not visual or _looks_like_its_parts(ch)):
+            table[code] = unicodedata.normalize("NFKD", ch)
+    for low, high in IGNORABLE + (ANNOTATION if visual else ()):
         table.update(dict.fromkeys(range(low, high + 1)))
     if visual:
         shapes = {ord(a): b for there, here in SAME_SHAPE for a, b in zip(there, here, strict=True)} | {ord(h): "-" for h in HYPHENS}
@@ -86,20 +88,26 @@ def _table(visual: bool) -> dict[int, str | None]:
     return table
 
 
-def visual_form(text: str) -> str:
-    """The form in which two texts are equal if a reader can't tell them apart."""
+def _form(text: str, visual: bool) -> str:
     if not text.isascii():
-        text = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_table(True)))
-    elif not text.isprintable():
-        text = text.translate(_table(True))
+        text = unicodedata.normalize("NFD", text).translate(_table(visual))
+        if not visual:  # folding may bring out characters to be mapped
+            text = unicodedata.normalize("NFD", text.casefold()).translate(_table(False)).casefold()
+        text = unicodedata.normalize("NFC", text)
+    else:
+        text = text if text.isprintable() else text.translate(_table(visual))
+        text = text if visual else text.casefold()
     return _SPACES.sub(" ", text).strip(" ")
 
 
+def visual_form(text: str) -> str:
+    """The form in which two texts are equal if a reader can't tell them apart."""
+    return _form(text, True)
+
+
 def full_form(text: str) -> str:
     """Compatibility composition with full case folding, one blank for any white space, nothing invisible."""
-    text = unicodedata.normalize("NFKC", text).translate(_table(False))
-    text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKD", text).casefold()).translate(_table(False))
-    return _SPACES.sub(" ", unicodedata.normalize("NFKC", text)).strip(" ")
+    return _form(text, False)
 
 
 def _per_distinct(make: Callable[[str], object], kind: str) -> Callable[[Column | str], Column]:
@@ -146,8 +154,11 @@ def look_alike_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     several = forms.groupBy("form_key").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("form_key")
     open_ = materialize(skew_join(forms, several, "form_key", "left_semi").distinct(), "spelled")
     kinds = open_.select("form_key", "spelling").distinct()
-    two = kinds.select("form_key", F.col("spelling").alias("s1")).join(kinds.select("form_key", F.col("spelling").alias("s2")), "form_key").where("s1 < s2")
+    s1, s2 = kinds.select("form_key", F.col("spelling").alias("s1")), kinds.select("form_key", F.col("spelling").alias("s2"))
+    two = block_join(s1, s2, ["form_key"], "s2", keep_keys=True).where("s1 < s2")
     first = open_.select("form_key", F.col("spelling").alias("s1"), F.col("id").alias("x"))
     second = open_.select("form_key", F.col("spelling").alias("s2"), F.col("id").alias("y"))
-    met = two.join(first, ["form_key", "s1"]).join(second, ["form_key", "s2"]).where("x <> y")
+    crowded = Crowded.of(first, ["form_key", "s1"])  # a page copied very often
+    met = block_join(two, first, ["form_key", "s1"], "x", keep_keys=True, crowded=crowded).select("form_key", "s2", "x")
+    met = block_join(met, second, ["form_key", "s2"], "y", crowded=crowded.renamed(["form_key", "s2"])).where("x <> y")
     return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -5,11 +5,9 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from knotwork.llm.contraction import _last_rounds
 from knotwork.llm.mixing import _segments
 from knotwork.llm.packing import plan_containers
 from knotwork.llm.textforms import full_form, visual_form
@@ -41,19 +39,6 @@ def test_invisible_and_space_change_nothing(text):
     assert visual_form(" " + text + "​\n") == visual_form(text) == visual_form(unicodedata.normalize("NFD", text))
 
 
-@settings(deadline=None, max_examples=80)
-@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)).filter(lambda p: p[0] != p[1]), min_size=1, max_size=60))
-def test_last_rounds(pairs):
-    out = _last_rounds(pd.DataFrame(pairs, columns=["a", "b"]))
-    end = dict(zip(out["v"], out["r"]))
-    assert set(end) == {x for p in pairs for x in p} and all(end[a] == end[b] for a, b in pairs)
-    up = {x: x for x in end}
-    for _ in range(len(up)):
-        for a, b in pairs:
-            up[a] = up[b] = min(up[a], up[b])
-    assert len(set(end.values())) == len(set(up.values()))
-
-
 @settings(deadline=None, max_examples=80)
 @given(st.lists(st.tuples(st.floats(0.01, 0.99), st.floats(0, 5)), max_size=6), st.floats(0.1, 5), st.floats(0.1, 5))
 def test_schedules_integrate_to_one(inner, first, last):

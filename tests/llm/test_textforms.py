@@ -25,6 +25,38 @@ def test_same():
     assert len({visual_form(g[0]) for g in SAME}) == len(SAME)
 
 
+def test_letters_of_other_scripts_without_a_latin_twin():
+    for group in (("Γ", "Г", "Ⲅ"), ("Π", "П", "Ⲡ"), ("Φ", "Ф", "Ⲫ"), ("φ", "ф", "ⲫ"), ("æ", "ӕ"), ("k", "к", "κ")):
+        assert len({visual_form(t) for t in group}) == 1, group
+    assert visual_form("a\ufff9b") == "ab" and full_form("a\ufff9b") != "ab"  # not ignorable by its property, but not seen
+
+
+def test_forms_differ_by_folding_and_what_is_kept():
+    """The visual form is the named form without folding, but for kept signs and letters of other scripts."""
+    import sys
+    import unicodedata
+
+    from knotwork.llm.textforms import SAME_SHAPE, HYPHENS
+
+    moved = {c for there, _ in SAME_SHAPE for c in there} | set(HYPHENS)
+    for code in range(0x20, sys.maxunicode):
+        ch = chr(code)
+        seen = visual_form("x" + ch + "x")
+        if unicodedata.category(ch) != "Cs" and not {ch, *unicodedata.normalize("NFKD", ch)} & moved and seen != "x" + ch + "x" and not 0xFFF9 <= code <= 0xFFFB:
+            assert full_form(seen) == full_form("x" + ch + "x"), hex(code)
+
+
+def test_copied_pages_are_met_in_blocks(spark, monkeypatch):
+    """One spelling of a page holds most rows, another few: every pair across them, none within."""
+    from knotwork.operators import skew
+
+    monkeypatch.setattr(skew.block_join, "__defaults__", (50,))
+    monkeypatch.setattr(skew.Crowded.of, "__defaults__", (50,))
+    df = spark.range(600).selectExpr("id as doc", "if(id % 200 = 7, 'soft​ error', 'soft error') as text")
+    pairs = {tuple(r) for r in look_alike_pairs(df, "doc", "text").collect()}
+    assert pairs == {tuple(sorted((a, b))) for a in (7, 207, 407) for b in range(600) if b % 200 != 7}
+
+
 def test_different():
     for a, b in itertools.combinations(DIFFERENT, 2):
         assert visual_form(a) != visual_form(b), (a, b)
