@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from knotwork.operators import spatial
+from knotwork.operators import skew, spatial
 from knotwork.operators.spatial import build_region_index, near_pairs, region_of
 from knotwork.operators.triangulate import ear_clip, triangulate, unwrap_ring
 
@@ -84,7 +84,7 @@ def test_region_of(spark, regions, monkeypatch, top):
     odd = [(9001, None, 1.0), (9002, 0.0, 0.0), (9003, 95.0, 3.0), (9004, float("nan"), 3.0), (9005, 3.0, float("inf")), (None, 1.0, 1.0)]
     at = spark.createDataFrame(points + odd + points[:20], "pid bigint, lat double, lon double").withColumns({"ax": F.lit(1), "x0": F.lit(2)})
     index = build_region_index(df, "rid", "lats", "lons")
-    assert (len(index.levels) > 0) == (top == 4)
+    assert (len(index.tree.levels) > 0) == (top == 4)
     got = [tuple(r) for r in region_of(at, "pid", "lat", "lon", index).collect()]
     want = {(k, r) for k, y, x in points for r, ring in rings.items() if any(crosses(ring, x + s, y) for s in (-720, -360, 0, 360))}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
@@ -114,9 +114,39 @@ def km(a, b):
     return 2 * 6371 * math.asin(math.sqrt(min(1, h)))
 
 
-@pytest.mark.parametrize(("radius", "rows"), [(2.0, 2000), (2.0, 7), (900.0, 50)])
-def test_near_pairs(spark, radius, rows, monkeypatch):
-    monkeypatch.setattr(spatial, "CELL_ROWS", rows)
+@pytest.fixture
+def as_large(spark, monkeypatch):
+    """Plan as for large tables: nothing sent to all executors, small roots, crowded nodes split early."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for name, value in (("TOP", 2), ("FANOUT", 4), ("POINT_LEAF", 3)):
+        monkeypatch.setattr(spatial, name, value)
+    monkeypatch.setattr(skew.block_join, "__defaults__", (20,))
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_morton_curve(spark):
+    row = spark.range(1).select(*[spatial.morton3(*[F.lit(v) for v in p]) for p in ((-1.0, -1.0, -1.0), (1.0, 1.0, 1.0), (-1 + 2.0**-19 * 5, -1.0, -1.0), (0.0, -1.0, -1.0), (-1.0, -1.0, 0.0))]).first()
+    assert tuple(row) == (0, (1 << 60) - 1, 0b1000001, 1 << 57, 1 << 59)
+
+
+def test_many_points_in_one_place(spark, as_large, rows):
+    """A third of the points share a position; points in a region all visit the same nodes."""
+    at = spark.range(90).selectExpr("id", "if(id % 3 = 0, 10.0, 10.0 + id / 10.0) as lat", "20.0 as lon")
+    got = near_pairs(at, "id", "lat", "lon", 1.0)
+    assert "__part" in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got, "left_id", "right_id") == sorted([(a, b) for a in range(0, 90, 3) for b in range(a + 3, 90, 3)], key=repr)
+    square = spark.createDataFrame([(1, [9.0, 9.0, 30.0, 30.0], [19.0, 21.0, 21.0, 19.0])], "rid bigint, lats array<double>, lons array<double>")
+    held = region_of(at, "id", "lat", "lon", build_region_index(square, "rid", "lats", "lons"))
+    assert "__part" in held._jdf.queryExecution().executedPlan().toString() and held.count() == 90
+
+
+@pytest.mark.parametrize("large", [False, True])
+@pytest.mark.parametrize("radius", [2.0, 900.0])
+def test_near_pairs(spark, radius, large, request):
+    if large:
+        request.getfixturevalue("as_large")
     rng = random.Random(6)
     pts = []
     for k in range(250):
