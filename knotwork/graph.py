@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.group import GroupedData
 
 from .functions.numeric import nan_to_null, value_in
 from .functions.vectors import ordinal_ranks, whiten
-from .operators import components, export, labels, plotdata
+from .operators import components, export, labels, plotdata, recipes
 from .operators.band import band_edges, band_spec
 from .operators.matrix import dot_pairs
 from .operators.pairs import all_pair_edges
-from .operators.partition import as_list, known_groups, super_table, with_end_features
+from .operators.partition import as_list, group_quantiles, known_groups, super_table, with_end_features
+from .operators.skew import skew_join
+from .plans.metrics import log_step
 from .plans.positions import with_position
 
 POS = "__pos"
@@ -117,7 +119,7 @@ class Graph:
         order = tuple(dict.fromkeys([*first, *self.order_by, self.node_id]))
         if order not in self._positioned:
             at = with_position(self.v, list(order), POS)
-            self._positioned[order] = (at, at.count())
+            self._positioned[order] = (at, at._knotwork_rows)
         return self._positioned[order]
 
     # --- edges from pairs ---
@@ -134,16 +136,21 @@ class Graph:
         to_pos: int | None = None,
         on: str | Sequence[str] | None = None,
         verbose: bool = False,
+        logfile: str | None = None,
     ) -> Graph:
         """Edges between all pairs of nodes i < j in row order that the selectors keep, with the connectors' relations.
 
         ``on``: features that must be equal, for a join by key instead of all pairs. ``from_pos`` and ``to_pos`` limit the
-        pairs by their number in the row-major triangle. ``step_size`` and ``verbose`` have no effect on the result.
+        pairs by their number in the row-major triangle. ``step_size`` has no effect: Spark's partitions are the chunks.
+        ``verbose`` and ``logfile`` make the edges at once and say how many pairs were met, how many edges were kept and how long it
+        took, on the screen and as a row appended to the log (a folder in any file system, see :func:`read_log`).
         """
-        del step_size, verbose
+        del step_size
+        noted = Observation() if verbose or logfile else None
         keyed = on and not from_pos and to_pos is None
         v, n = (self.v, None) if keyed else self._placed()
-        return self._with(e=all_pair_edges(v, n, self.node_id, self.source, self.target, connectors, selectors, transfer_features, r_dtype_dic, no_transfer_rs, from_pos, to_pos, on, self.order_by))
+        e = all_pair_edges(v, n, self.node_id, self.source, self.target, connectors, selectors, transfer_features, r_dtype_dic, no_transfer_rs, from_pos, to_pos, on, self.order_by, noted)
+        return self._with(e=log_step("create_edges", e, noted, verbose, logfile) if noted else e)
 
     def create_edges_ft(
         self,
@@ -160,14 +167,16 @@ class Graph:
         on: str | Sequence[str] | None = None,
         require_sorted: bool = False,
         verbose: bool = False,
+        logfile: str | None = None,
     ) -> Graph:
         """Edges between nodes at most a threshold apart along ``ft_feature``: (column, threshold) or (time column, threshold, unit).
 
         Nodes are sorted by that column first, then by the graph's order; ``require_sorted`` raises AssertionError instead if
         the graph's own order isn't sorted by it. ``from_pos``, ``to_pos``: the source nodes, by position.
-        ``min_chunk_size``, ``max_pairs`` and ``verbose`` have no effect on the result.
+        ``min_chunk_size`` and ``max_pairs`` have no effect; ``verbose`` and ``logfile`` are those of :meth:`create_edges`, the pairs being those within the band.
         """
-        del min_chunk_size, max_pairs, verbose
+        del min_chunk_size, max_pairs
+        noted = Observation() if verbose or logfile else None
         column = band_spec(self.v, ft_feature)[0]
         if require_sorted:
             v, _ = self._placed()
@@ -178,7 +187,8 @@ class Graph:
             v = self._placed([column])[0] if from_pos or to_pos is not None else self.v
         if to_pos is not None and not 0 <= from_pos < to_pos:
             raise AssertionError("0 <= from_pos < to_pos is required")
-        return self._with(e=band_edges(v, self.node_id, self.source, self.target, ft_feature, connectors, selectors, transfer_features, r_dtype_dic, no_transfer_rs, from_pos, to_pos, on, self.order_by))
+        e = band_edges(v, self.node_id, self.source, self.target, ft_feature, connectors, selectors, transfer_features, r_dtype_dic, no_transfer_rs, from_pos, to_pos, on, self.order_by, noted)
+        return self._with(e=log_step("create_edges_ft", e, noted, verbose, logfile) if noted else e)
 
     def create_correlation_edges(self, vector: str, threshold: float, relation: str = "corr", method: str = "pearson") -> Graph:
         """Edges between nodes whose vectors correlate by at least ``threshold`` in size, by blocks of matrix products.
@@ -194,14 +204,15 @@ class Graph:
         length = v.agg(F.max("__len")).first()[0] or 1
         v = v.where(F.col("__len") == length)
         scale = 1.0 if method == "dot" else 1.0 / length
-        return self._with(e=dot_pairs(v, n, self.node_id, "__z", self.source, self.target, relation, threshold, scale))
+        return self._with(e=dot_pairs(v, n, self.node_id, "__z", self.source, self.target, relation, threshold, length, scale))
 
     # --- partitions ---
 
-    def partition_nodes(self, features: str | Sequence[str], feature_funcs: Mapping[str, object] | None = None, n_nodes: bool = True, return_gv: bool = False) -> DataFrame | tuple[DataFrame, GroupedData]:
-        """Super nodes: nodes grouped by features, their number ``n_nodes`` and aggregates of features."""
+    def partition_nodes(self, features: str | Sequence[str], feature_funcs: Mapping[str, object] | None = None, n_nodes: bool = True, return_gv: bool = False, sort: bool = False) -> DataFrame | tuple[DataFrame, GroupedData]:
+        """Super nodes: nodes grouped by features, their number ``n_nodes`` and aggregates of features; ``sort`` puts them in the order of their keys."""
         keys = as_list(features)
         sv = super_table(self.v, keys, feature_funcs, "n_nodes" if n_nodes else None, [*self.order_by, self.node_id])
+        sv = sv.orderBy(*keys) if sort else sv
         return (sv, known_groups(self.v, keys)) if return_gv else sv
 
     def partition_edges(
@@ -213,14 +224,21 @@ class Graph:
         n_edges: bool = True,
         return_ge: bool = False,
         reuse: bool = False,
+        validate: bool = False,
+        sort: bool = False,
     ) -> DataFrame | tuple[DataFrame, GroupedData]:
-        """Super edges: edges grouped by relations, features of their sources and features of their targets."""
+        """Super edges: edges grouped by relations, features of their sources and features of their targets.
+
+        An edge with an end that is no node has unknown features there and is in no group; ``validate`` raises KeyError for it, at the price
+        of a job. ``sort`` puts the groups in the order of their keys.
+        """
         sf, tf = as_list(source_features), as_list(target_features)
-        e = with_end_features(self.e, self.v, self.node_id, self.source, self.target, sf, tf, reuse)
+        e = with_end_features(self.e, self.v, self.node_id, self.source, self.target, sf, tf, reuse, validate)
         keys = [*as_list(relations), *[f"{f}_s" for f in sf], *[f"{f}_t" for f in tf]]
         if not keys:
             raise ValueError("group by a relation, or by a feature of an end")
         se = super_table(e, keys, relation_funcs, "n_edges" if n_edges else None, [self.source, self.target])
+        se = se.orderBy(*keys) if sort else se
         return (se, known_groups(e, keys)) if return_ge else se
 
     def partition_graph(
@@ -262,7 +280,8 @@ class Graph:
     def update_edges(self) -> Graph:
         """Keep the edges whose ends are both in the node table."""
         ids = self._v.select(F.col(self.node_id).alias(self.source))
-        e = self.e.join(ids, self.source, "left_semi").join(ids.withColumnRenamed(self.source, self.target), self.target, "left_semi")
+        e = skew_join(self.e, ids, self.source, "left_semi")
+        e = skew_join(e, ids.withColumnRenamed(self.source, self.target), self.target, "left_semi")
         return self._with(e=e.select(*self.e.columns))
 
     def _filtered(self, keep: object) -> Graph:
@@ -290,8 +309,8 @@ class Graph:
 
     def filter_by_group_quantile_v(self, by: str, col: str, q: float) -> Graph:
         """Keep nodes whose feature is at least the q-quantile (linear interpolation) within their group; edges follow."""
-        limits = self._v.where(F.col(by).isNotNull()).groupBy(by).agg(F.percentile(col, F.lit(q)).alias("__limit"))
-        new = self._with(v=self._v.join(limits, by).where(F.col(col) >= F.col("__limit")).select(*self._v.columns))
+        limits = group_quantiles(self._v, [by], col, {"__limit": q})
+        new = self._with(v=skew_join(self._v, limits, by).where(F.col(col) >= F.col("__limit")).select(*self._v.columns))
         return new.update_edges() if self.has_edges else new
 
     # --- labels ---
@@ -318,6 +337,14 @@ class Graph:
         v = components.label_components(at, roots, self.node_id, col_name, label_by_size, consolidate_singles)
         return self._with(v=v.drop(POS))
 
+    def undirected(self, weights: str | Sequence[str]) -> Graph:
+        """The graph whose weights are summed over both directions, see :func:`recipes.undirected`."""
+        return self._with(e=recipes.undirected(self.e, self.source, self.target, as_list(weights)))
+
+    def dominant(self, kind: str | Column, name: str = "dominant") -> Graph:
+        """The graph with one edge per pair and its most frequent kind, see :func:`recipes.dominant`."""
+        return self._with(e=recipes.dominant(self.e, self.source, self.target, F.col(kind) if isinstance(kind, str) else kind, name))
+
     def degrees(self) -> DataFrame:
         return components.degrees(self.v, self.e, self.node_id, self.source, self.target)
 
@@ -326,24 +353,32 @@ class Graph:
     def return_cs_graph(self, relations: bool | str | Sequence[str] = False, dropna: bool | Sequence[bool] = True) -> DataFrame | Mapping[str, DataFrame]:
         return export.coo(self.positioned(), self.e, self.node_id, self.source, self.target, relations, dropna)
 
-    def return_nx_graph(self, features: bool | str | Sequence[str] = False, relations: bool | str | Sequence[str] = False, dropna: str = "none") -> tuple[DataFrame, DataFrame]:
-        return export.row_edges(self.v, self.e, self.node_id, self.source, self.target, features, relations, dropna)
+    def return_nx_graph(self, features: bool | str | Sequence[str] = False, relations: bool | str | Sequence[str] = False, dropna: str = "none", check: bool = False) -> tuple[DataFrame, DataFrame]:
+        return export.row_edges(self.v, self.e, self.node_id, self.source, self.target, features, relations, dropna, check)
 
     def return_nx_multigraph(self, features: bool | str | Sequence[str] = False, relations: bool | str | Sequence[str] = False, dropna: bool = True) -> tuple[DataFrame, DataFrame]:
         nodes = self.v.select(self.node_id, *export._chosen(features, [c for c in self.v.columns if c != self.node_id]))
         return nodes, export.cell_edges(self.e, self.source, self.target, relations, dropna)
 
-    def return_gt_graph(self, features: bool | str | Sequence[str] = False, relations: bool | str | Sequence[str] = False, dropna: str = "none") -> tuple[DataFrame, DataFrame, dict[str, str]]:
-        return export.property_tables(self.positioned(), self.e, self.node_id, self.source, self.target, features, relations, dropna)
+    def return_gt_graph(
+        self, features: bool | str | Sequence[str] = False, relations: bool | str | Sequence[str] = False, dropna: str = "none", node_indices: bool = False, edge_indices: bool = False
+    ) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+        return export.property_tables(self.positioned(), self.e, self.node_id, self.source, self.target, features, relations, dropna, node_indices, edge_indices)
 
     # --- what plots show ---
 
     def plot_2d(self, x: str, y: str, edges: bool = False, C: str | None = None, C_split_0: bool = False) -> dict[str, DataFrame]:
-        out = {"points": plotdata.points(self.v, self.node_id, x, y), "limits": plotdata.axis_limits(self.v, [x, y])}
+        """Points, axis limits and, with ``edges``, arrows; with a color ``C`` the limits have a row of its own, over all edges."""
+        out = {"points": plotdata.points(self.v, self.node_id, x, y), "limits": self.plot_limits(x, y, C=C)}
         if edges:
             out["arrows"] = plotdata.arrows(self.v, self.e, self.node_id, self.source, self.target, x, y, color=C, split_zero=C_split_0)
         return out
 
+    def plot_limits(self, *axes: str, C: str | None = None) -> DataFrame:
+        """(axis, low, high) for a series of pictures: the range of each axis over all nodes and, with ``C``, that of the color over all edges."""
+        limits = plotdata.axis_limits(self.v, list(axes))
+        return limits.unionByName(plotdata.color_limits(self.e, C)) if C else limits
+
     def plot_map(self, lon: str, lat: str, edges: bool = False, C: str | None = None, C_split_0: bool = False) -> dict[str, DataFrame]:
         return self.plot_2d(lon, lat, edges, C, C_split_0)
 

@@ -6,9 +6,10 @@ lies in one, so the pairs come from an equi-join on the bucket and each candidat
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +45,21 @@ def band_spec(v: DataFrame, ft_feature: Sequence) -> tuple[str, Column, float |
     return column, F.col(column), threshold, None
 
 
+def bucket_of(x: Column, width: float, whole: bool) -> Column:
+    """The bucket of a value, bigint: whole numbers are divided as such, so none is too large for it."""
+    if not whole:
+        return F.floor(x / (width * (1 + 1e-9)))
+    x, w = x.cast("bigint"), F.lit(int(width)).cast("bigint")
+    return F.call_function("div", x, w) - F.when(x % w < 0, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+
+
+def buckets_ahead(b: Column, whole: bool) -> Column:
+    """Where partners of a source in bucket ``b`` may lie: in it or the next; or one further, where doubles are too coarse to tell. None lies beyond the last."""
+    ahead = lambda k: F.try_add(b, F.lit(k).cast("bigint"))
+    near = F.array(b, ahead(1))
+    return near if whole else F.when(F.abs(F.greatest(b, F.lit(-(1 << 62)))) > 1 << 40, F.array(b, ahead(1), ahead(2))).otherwise(near)
+
+
 def band_edges(
     v: DataFrame,
     node_id: str,
@@ -59,8 +75,9 @@ def band_edges(
     to_pos: int | None = None,
     on: str | Sequence[str] | None = None,
     order_by: Sequence[str] = (),
+    seen: Observation | None = None,
 ) -> DataFrame:
-    """The edges of ``create_edges_ft``.
+    """The edges of ``create_edges_ft``. ``seen`` notes the pairs within the band, before any selector.
 
     Each pair i < j, in the order of the band feature, then of ``order_by``, with value_j - value_i <= threshold; its distance
     is ``ft_r``. Nodes with an unknown value have no edges. ``on`` adds keys that must be equal. ``from_pos`` and ``to_pos``
@@ -75,22 +92,24 @@ def band_edges(
     order = schedule(sel, con, [BAND_OUTPUT])
     features = needed_features(order, transfer, [c for c in v.columns if c != "__pos"])
     keys = _names(on)
-    if threshold > 0:
-        bucket = F.floor(F.col("__x") / (threshold if unit else threshold * (1 + 1e-9)))
-    else:
-        bucket = F.col("__x")
+    whole = unit is not None or isinstance(v.schema[ft_feature[0]].dataType, T.IntegralType)
+    if whole:
+        threshold = math.floor(threshold)  # distances are whole numbers
+    bucket = bucket_of(F.col("__x"), threshold, whole) if threshold > 0 else F.col("__x")
     x = F.when(F.isnan(value), None).otherwise(value) if isinstance(v.schema[ft_feature[0]].dataType, (T.DoubleType, T.FloatType)) else value
     at = v.withColumn("__x", x).where("__x is not null").withColumn("__b", bucket)
     renamed = {f"__k{i}": F.col(k) for i, k in enumerate(keys)}
     rank = F.col("__pos") if "__pos" in v.columns else F.struct(*order_by, node_id)
     cols = lambda end: [F.col(node_id).alias(f"__id_{end}"), rank.alias(f"__rank_{end}"), F.col("__x").alias(f"__x_{end}"), *[F.col(f).alias(f"{f}_{end}") for f in features], *[c.alias(n) for n, c in renamed.items()]]
     sources = at.where((F.col("__pos") >= from_pos) & (F.col("__pos") < to_pos)) if to_pos is not None else at.where(F.col("__pos") >= from_pos) if from_pos else at
-    looks = F.explode(F.array(F.col("__b"), F.col("__b") + 1)) if threshold > 0 else F.col("__b")
+    looks = F.explode(buckets_ahead(F.col("__b"), whole)) if threshold > 0 else F.col("__b")
     left, right = sources.select(*cols("s"), looks.alias("__b")), at.select(*cols("t"), "__b")
-    gap = F.col("__x_t") - F.col("__x_s")
+    gap = F.try_subtract("__x_t", "__x_s")  # beyond all numbers is beyond the threshold
     xs, xt = F.col("__x_s"), F.col("__x_t")
     ahead = (xs < xt) | ((xs == xt) & (F.col("__rank_s") < F.col("__rank_t")))
     pairs = block_join(left, right, ["__b", *renamed], "__id_t").where(ahead & (gap <= threshold)).drop("__rank_s", "__rank_t")
+    if seen is not None:
+        pairs = pairs.observe(seen, F.count(F.lit(1)).alias("pairs"))
     # both sides as named inputs, the distance in the unit the caller chose
     pairs = pairs.withColumn(BAND_OUTPUT, gap.cast("double") / unit if unit else gap)
     ft = {"ft_feature_s": F.col("__x_s"), "ft_feature_t": F.col("__x_t"), "ftt": F.lit(threshold)}

@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.positions import with_position
-from ..session import discard, materialize
-from .skew import skew_join
+from ..session import discard, materialize, materialize_seen
+from .skew import hot_keys, sent_whole, skew_join
 
 MAX_ROUNDS = 500
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Size and content of an edge set, to see whether a round changed it."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _noted(edges: DataFrame, label: str, *columns: str) -> tuple[DataFrame, tuple]:
+    """The rows written, with their number and a sum over their content, noted on the way: whether a round changed them.
+
+    A task repeated after the loss of an executor may be noted twice, which costs one more round at most.
+    """
+    out, seen = materialize_seen(edges, label, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("sum"))
+    return out, (seen["n"], seen["sum"])
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,36 +39,36 @@ def weak_components(edges: DataFrame, source: str, target: str) -> DataFrame:
     are spread by :func:`skew_join`. NULL ends and loops are ignored.
     """
     s, t = F.col(source), F.col(target)
-    now = materialize(edges.where(s != t).select(F.greatest(s, t).alias("u"), F.least(s, t).alias("v")).distinct(), "stars")
-    mark = _mark(now)
+    now, mark = _noted(edges.where(s != t).select(F.greatest(s, t).alias("u"), F.least(s, t).alias("v")).distinct(), "stars", "u", "v")
     for _ in range(MAX_ROUNDS):
         if not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         large = materialize(_stars(now, True), "stars")
-        after = materialize(_stars(large, False), "stars")
+        before = mark
+        after, mark = _noted(_stars(large, False), "stars", "u", "v")
         discard(now)
         discard(large)
-        now, before, mark = after, mark, _mark(after)
+        now = after
         if mark == before:
             roots = now.select("v").distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
     raise RuntimeError("the components don't settle")
 
 
-def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
+def _spread(edges: DataFrame, labels: DataFrame, hot: list) -> DataFrame:
     """Labels after every node took the least label among its own and its predecessors'."""
-    sent = edges.join(labels.select(F.col("node").alias("u"), F.col("label").alias("l")), "u").groupBy(F.col("v").alias("node")).agg(F.min("l").alias("l"))
+    sent = skew_join(edges, labels.select(F.col("node").alias("u"), F.col("label").alias("l")), "u", hot=hot).groupBy(F.col("v").alias("node")).agg(F.min("l").alias("l"))
     return labels.join(sent, "node", "left").select("node", F.least("label", "l").alias("label"))
 
 
 def _fixpoint(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    labels = materialize(labels, "labels")
-    mark = labels.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()[0]
+    labels, mark = _noted(labels, "labels", "node", "label")
+    hot = [] if sent_whole(labels) else hot_keys(edges, "u")
     for _ in range(MAX_ROUNDS * 20):
-        after = materialize(_spread(edges, labels), "labels")
+        before = mark
+        after, mark = _noted(_spread(edges, labels, hot), "labels", "node", "label")
         discard(labels)
-        labels, before = after, mark
-        mark = labels.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()[0]
+        labels = after
         if mark == before:
             return labels
     raise RuntimeError("the labels don't settle")

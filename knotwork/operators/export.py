@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import skew_join
+
 
 def _chosen(given: bool | str | Sequence[str], every: Sequence[str]) -> list[str]:
     if given is True:
@@ -21,8 +23,8 @@ def _chosen(given: bool | str | Sequence[str], every: Sequence[str]) -> list[str
 
 def _indexed(e: DataFrame, v: DataFrame, node_id: str, source: str, target: str) -> DataFrame:
     at = v.select(F.col(node_id).alias("__n"), "__pos")
-    e = e.join(at.select(F.col("__n").alias(source), F.col("__pos").alias("i")), source)
-    return e.join(at.select(F.col("__n").alias(target), F.col("__pos").alias("j")), target)
+    e = skew_join(e, at.select(F.col("__n").alias(source), F.col("__pos").alias("i")), source)
+    return skew_join(e, at.select(F.col("__n").alias(target), F.col("__pos").alias("j")), target)
 
 
 def coo(v: DataFrame, e: DataFrame, node_id: str, source: str, target: str, relations: bool | str | Sequence[str] = False, dropna: bool | Sequence[bool] = True) -> DataFrame | Mapping[str, DataFrame]:
@@ -44,11 +46,11 @@ def coo(v: DataFrame, e: DataFrame, node_id: str, source: str, target: str, rela
     return next(iter(out.values())) if len(out) == 1 else out
 
 
-def row_edges(v: DataFrame, e: DataFrame, node_id: str, source: str, target: str, features: bool | str | Sequence[str] = False, relations: bool | str | Sequence[str] = False, dropna: str = "none", check: bool = True) -> tuple[DataFrame, DataFrame]:
+def row_edges(v: DataFrame, e: DataFrame, node_id: str, source: str, target: str, features: bool | str | Sequence[str] = False, relations: bool | str | Sequence[str] = False, dropna: str = "none", check: bool = False) -> tuple[DataFrame, DataFrame]:
     """A directed graph with one edge per row: node table and edge table with the chosen columns.
 
     ``dropna``: 'none', or leave out edges of which 'any' or 'all' of the chosen relations are unknown. An edge given twice
-    can't be one edge: ValueError (``check=False`` spares the count).
+    can't be one edge: ``check`` makes it a ValueError, at the price of a shuffle and a job.
     """
     if dropna not in ("none", "any", "all"):
         raise ValueError("dropna is 'none', 'any' or 'all'")
@@ -78,16 +80,19 @@ def cell_edges(e: DataFrame, source: str, target: str, relations: bool | str | S
     return out if relations else out.drop("value")
 
 
-#: Types of property maps by SQL type; anything else is an object.
+#: Types of property maps by SQL type; anything else is an object.
 PROPERTY_TYPES = {"boolean": "bool", "tinyint": "int16_t", "smallint": "int16_t", "int": "int32_t", "bigint": "int64_t", "float": "double", "double": "double", "string": "string"}
 
 
-def property_tables(v: DataFrame, e: DataFrame, node_id: str, source: str, target: str, features: bool | str | Sequence[str] = False, relations: bool | str | Sequence[str] = False, dropna: str = "none") -> tuple[DataFrame, DataFrame, dict[str, str]]:
-    """Vertices (i, original id, features) and edges (i, j, original ids, relations) with dense indices, and the property type of each column."""
+def property_tables(v: DataFrame, e: DataFrame, node_id: str, source: str, target: str, features: bool | str | Sequence[str] = False, relations: bool | str | Sequence[str] = False, dropna: str = "none", node_indices: bool = False, edge_indices: bool = False) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """Vertices (i, features) and edges (i, j, relations) with dense indices, and the property type of each column.
+
+    ``node_indices`` and ``edge_indices`` add the ids that the nodes, or the ends of the edges, had.
+    """
     feats = _chosen(features, [c for c in v.columns if c not in (node_id, "__pos")])
-    _, edges = row_edges(v, e, node_id, source, target, False, relations, dropna, check=False)
-    vertices = v.select(F.col("__pos").alias("i"), node_id, *feats)
-    arcs = _indexed(edges, v, node_id, source, target).select("i", "j", source, target, *[c for c in edges.columns if c not in (source, target)])
+    _, edges = row_edges(v, e, node_id, source, target, False, relations, dropna)
+    vertices = v.select(F.col("__pos").alias("i"), *([node_id] if node_indices else []), *feats)
+    arcs = _indexed(edges, v, node_id, source, target).select("i", "j", *([source, target] if edge_indices else []), *[c for c in edges.columns if c not in (source, target)])
     kinds = {f.name: PROPERTY_TYPES.get(f.dataType.simpleString(), "object") for t in (vertices, arcs) for f in t.schema}
     return vertices, arcs, kinds
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .band import is_time
+from .skew import skew_join
 
 
 def bin_edges(df: DataFrame, col: str, bins: int | Sequence[float] = 10, log_bins: int | bool = False, floor: bool = False) -> list[float]:
@@ -76,11 +77,9 @@ def met_season(col: Column) -> Column:
 
 
 def with_datetime_categories(df: DataFrame, col: str = "time", timeofday: str | bool | None = None, season: str | bool | None = None) -> DataFrame:
-    """Columns with the part of the day and the season of ``col``; True names them ``<col>_timeofday`` and ``<col>_season``; neither given makes both."""
+    """Columns with the part of the day and the season of ``col``; True names them ``<col>_timeofday`` and ``<col>_season``; what isn't asked for isn't made."""
     if not is_time(df.schema[col].dataType):
         raise TypeError(f"{col} holds no dates")
-    if timeofday is None and season is None:
-        timeofday = season = True
     if timeofday:
         df = df.withColumn(timeofday if isinstance(timeofday, str) else f"{col}_timeofday", time_of_day(F.col(col)))
     if season:
@@ -93,7 +92,7 @@ def with_codes(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
 
     A column that has the name already is replaced, unless it is one of those coded.
 
-    Only the distinct values are ranked, by a distributed sort, and joined back.
+    Only the distinct values are ranked, by a distributed sort, and joined back; values that many rows hold are salted.
     """
     from ..plans.positions import with_position
 
@@ -104,4 +103,4 @@ def with_codes(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
     for c in columns:
         some = some.where(F.col(c).isNotNull())
     codes = with_position(some, list(columns), name)
-    return df.join(codes, list(columns), "left").na.fill({name: -1}).select(*df.columns, name)
+    return skew_join(df, codes, list(columns), "left").na.fill({name: -1}).select(*df.columns, name)

@@ -13,13 +13,15 @@ from pyspark.sql import types as T
 
 #: Vectors per block.
 BLOCK = 1024
+#: Bytes of vectors that a task may hold in a hash table.
+HASHED_BYTES = 256 << 20
 
 
-def dot_pairs(v: DataFrame, n: int, node_id: str, vector: str, source: str, target: str, relation: str, threshold: float, scale: float = 1.0, block: int = BLOCK) -> DataFrame:
+def dot_pairs(v: DataFrame, n: int, node_id: str, vector: str, source: str, target: str, relation: str, threshold: float, length: int, scale: float = 1.0, block: int = BLOCK) -> DataFrame:
     """(source, target, relation): pairs pos_s < pos_t whose scaled dot product is at least ``threshold`` in size.
 
-    ``v`` has a dense ``__pos``. Vectors of a block of positions are packed into one row; each pair of blocks is one
-    matrix product in an Arrow batch, and only the pairs kept leave it. Vectors must have one length; NULL vectors and
+    ``v`` has a dense ``__pos``; ``length`` is that of the vectors. Vectors of a block of positions are packed into one row; each pair of blocks is one
+    matrix product in an Arrow batch, and only the pairs kept leave it. NULL vectors and
     vectors with a NULL element pair with none. Blocks shrink while there are fewer block pairs than would keep the cores busy.
     """
     g = max(1, math.ceil(n / block), min(12, math.ceil(n / 128)))
@@ -48,5 +50,8 @@ def dot_pairs(v: DataFrame, n: int, node_id: str, vector: str, source: str, targ
                 i, j = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([ids_s.take(pa.array(i)), ids_t.take(pa.array(j)), pa.array(product[i, j])], names=[source, target, relation])
 
-    joined = left.join(right.hint("shuffle_hash"), "k")
+    # each vector takes part in g block pairs; a hash table can't spill, so a side that might not fit a task is sorted instead
+    tasks = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fits = n * (g + 1) / 2 * 8 * max(1, length) / tasks <= HASHED_BYTES
+    joined = left.join(right.hint("shuffle_hash" if fits else "merge"), "k")
     return joined.mapInArrow(multiply, schema)

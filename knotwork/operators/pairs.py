@@ -12,7 +12,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,8 +164,9 @@ def all_pair_edges(
     to_pos: int | None = None,
     on: str | Sequence[str] | None = None,
     order_by: Sequence[str] = (),
+    seen: Observation | None = None,
 ) -> DataFrame:
-    """The edges of ``create_edges``. An empty selection gives a typed, empty table.
+    """The edges of ``create_edges``. An empty selection gives a typed, empty table. ``seen`` notes the pairs, before any selector.
 
     The table has a dense ``__pos`` and ``n`` rows, unless pairs meet by key (``on``) and no range is asked for: then rows are
     compared by ``order_by`` and id.
@@ -189,5 +190,7 @@ def all_pair_edges(
         if limited:
             k = pair_index(F.lit(n), F.col("__pos_s"), F.col("__pos_t"))
             pairs = pairs.where((k >= from_pos) & (k < end))
+    if seen is not None:
+        pairs = pairs.observe(seen, F.count(F.lit(1)).alias("pairs"))
     pairs = apply_functions(pairs, order)
     return finish(pairs, source, target, [o for f in order for o in f.outputs], transfer, dtypes, drop)

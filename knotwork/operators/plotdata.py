@@ -7,7 +7,9 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .partition import with_end_features
+from .skew import skew_join
 
 
 def points(v: DataFrame, node_id: str, x: str, y: str, z: str | None = None, more: Sequence[str] = ()) -> DataFrame:
@@ -42,16 +44,24 @@ def frames(v: DataFrame, e: DataFrame, node_id: str, source: str, target: str, b
     at = with_end_features(e, v, node_id, source, target, [by], [by]).where(F.col(f"{by}_s") == F.col(f"{by}_t"))
     arrow = arrows(v, at, node_id, source, target, x, y, color=color)
     key = v.select(F.col(node_id).alias(source), F.col(by).alias("frame"))
-    return shown, arrow.join(key, source)
+    return shown, skew_join(arrow, key, source)
 
 
 def frame_generator(v: DataFrame, e: DataFrame, node_id: str, source: str, target: str, by: str, x: str, y: str, color: str | None = None) -> Iterator[tuple[object, DataFrame, DataFrame]]:
-    """(group, points, arrows) group by group, in sorted order, for a caller that draws one picture after the other."""
-    shown, arrow = frames(v, e, node_id, source, target, by, x, y, color)
+    """(group, points, arrows) group by group, in sorted order, for a caller that draws one picture after the other.
+
+    All frames are written once, in the order of the groups, so that each is read by itself from the few row groups that hold it.
+    """
+    shown, arrow = (materialize(t.repartitionByRange("frame").sortWithinPartitions("frame"), "frames") for t in frames(v, e, node_id, source, target, by, x, y, color))
     for (value,) in shown.select("frame").distinct().orderBy("frame").toLocalIterator():
         yield value, shown.where(F.col("frame") == F.lit(value)), arrow.where(F.col("frame") == F.lit(value))
 
 
+def color_limits(e: DataFrame, color: str) -> DataFrame:
+    """(axis, low, high) of an edge color over all edges, one row with axis 'color': the same for every picture of a series."""
+    return e.agg(F.min(color).cast("double").alias("low"), F.max(color).cast("double").alias("high")).select(F.lit("color").alias("axis"), "low", "high")
+
+
 def rects_label_numeric(v: DataFrame, node_id: str, label: str, left: str, right: str, height: float = 1.2) -> DataFrame:
     """Rectangles from ``left`` to ``right`` in a row per label code; the row is centred on the code."""
     return v.select(node_id, F.col(left).alias("x"), (F.col(label) - height / 2).alias("y"), (F.col(right) - F.col(left)).alias("width"), F.lit(height).alias("height"))

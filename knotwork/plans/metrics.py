@@ -1,21 +1,42 @@
-"""What a run did: rows of pairs, edges and seconds, kept as a table and written as a log."""
+"""What a run did: pairs met, edges kept and seconds, said on the screen and kept as a log."""
 
 from __future__ import annotations
 
 import logging
+import sys
 import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize_seen
+
 log = logging.getLogger("knotwork")
 SCHEMA = "step string, pairs bigint, edges bigint, secs double"
 
 
+def log_step(step: str, edges: DataFrame, noted: Observation, verbose: bool = False, logfile: str | None = None) -> DataFrame:
+    """Make ``edges`` now, once, and report: the number of pairs ``noted`` on the way, of edges, and the seconds.
+
+    The rows of a log have the same columns whatever the step did. A task repeated after the loss of an executor may be
+    noted twice: the numbers tell of the run, not of the result.
+    """
+    began = time.monotonic()
+    made, seen = materialize_seen(edges, "edges", F.count(F.lit(1)).alias("edges"))
+    row = (step, noted.get["pairs"], seen["edges"], time.monotonic() - began)
+    log.info("%s: %s pairs, %s edges, %.3f s", *row)
+    if verbose:
+        print("{}: {} pairs, {} edges, {:.3f} s".format(*row), file=sys.stderr)
+    if logfile:
+        run = RunLog([row])
+        run.write(edges.sparkSession, logfile)
+    return made
+
+
 @dataclass
 class RunLog:
-    """Collects a row per step. Every row has the same columns, whatever the step did."""
+    """Collects a row per step."""
 
     rows: list[tuple] = field(default_factory=list)
 

@@ -21,7 +21,7 @@ def with_position(df: DataFrame, order_by: Sequence[str | Column], name: str = "
 
     The order must be total for a repeatable result (add an id as tie-break). The sorted rows are written once, since
     range boundaries come from sampling and may differ between two evaluations. Only one count per partition reaches
-    the driver. An empty input gives an empty output.
+    the driver; their sum stays with the frame as ``_knotwork_rows``. An empty input gives an empty output.
     """
     if name in df.columns:
         raise ValueError(f"column {name} exists already")
@@ -40,7 +40,9 @@ def with_position(df: DataFrame, order_by: Sequence[str | Column], name: str = "
         offsets.append(start)
         start += sizes.get(part, 0)
     base = F.array(*[F.lit(o).cast("bigint") for o in offsets or [0]])
-    return placed.withColumn(name, F.get(base, F.col("__part").cast("int")) + F.col("__at")).drop("__part", "__at")
+    out = placed.withColumn(name, F.get(base, F.col("__part").cast("int")) + F.col("__at")).drop("__part", "__at")
+    out._knotwork_rows = start  # known by now, which spares a count
+    return out
 
 
 def pair_index(n: Column, i: Column, j: Column) -> Column:

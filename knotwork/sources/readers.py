@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.positions import with_position
+
 FORMATS = ("parquet", "orc", "json", "csv", "text")
 
 
@@ -68,11 +70,10 @@ def read_pajek(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         if (part := section(name)) is not None:
             edges = edges.unionByName(part.select(number(1, "bigint").alias("s"), number(2, "bigint").alias("t"), F.coalesce(number(3, "double"), F.lit(1.0)).alias("weight"), F.lit(directed).alias("directed")))
     if (part := section("matrix")) is not None:
-        first = part.agg(F.min("at")).first()[0]
-        if first is not None:
-            rows = part.select((F.col("at") - first + 1).alias("s"), F.posexplode(words).alias("k", "w"))
-            cells = rows.select("s", (F.col("k") + 1).cast("bigint").alias("t"), F.col("w").try_cast("double").alias("weight"), F.lit(True).alias("directed"))
-            edges = edges.unionByName(cells.where("weight <> 0"))
+        numbered = with_position(part, ["at"], "row")  # the n-th line that is no blank and no comment is row n, wherever the file was split
+        rows = numbered.select((F.col("row") + 1).alias("s"), F.posexplode(words).alias("k", "w"))
+        cells = rows.select("s", (F.col("k") + 1).cast("bigint").alias("t"), F.col("w").try_cast("double").alias("weight"), F.lit(True).alias("directed"))
+        edges = edges.unionByName(cells.where("weight <> 0"))
     return nodes, edges.where("s is not null and t is not null")
 
 

@@ -1,46 +1,56 @@
-"""Partitions, filters, labels, components and exports on the small tables whose results are known by hand."""
+"""Partitions, filters, labels, components and exports on small tables."""
 
 import datetime as dt
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from knotwork import Graph
+from knotwork import Graph, connector
 from knotwork.functions.geo import great_circle_dist
 from knotwork.functions.numeric import ieee_div
 from knotwork.functions.sets import cp_intersection_strength, cp_node_intersection, hypergeometric_p_value, jaccard
 from knotwork.operators.components import strong_components, weak_components
 from knotwork.operators.labels import bin_edges, digitize, histogram
+from knotwork.operators.partition import group_quantiles
+from knotwork.operators.recipes import reversed_edges
+
+
+#: Five nodes (id, x, time, color, size).
+NODES = [(0, -3.4, 0, "g", 1), (1, 2.1, 1, "g", 3), (2, -1.1, 2, "b", 2), (3, 0.9, 5, "g", 3), (4, 2.3, 9, "r", 1)]
 
 
 @pytest.fixture(scope="module")
 def five(spark):
-    v = spark.createDataFrame([(0, -3.4, 0, "g", 1), (1, 2.1, 1, "g", 3), (2, -1.1, 2, "b", 2), (3, 0.9, 5, "g", 3), (4, 2.3, 9, "r", 1)], "id bigint, x double, time bigint, color string, size bigint")
+    @connector(outputs=["mid", "growth", "all_g"])
+    def relate(x_s, x_t, size_s, size_t, color_s, color_t):
+        return F.round((x_s + x_t) / 2, 6), size_t - size_s, (color_s == "g") & (color_t == "g")
 
-    def dx(x_s, x_t):
-        dx = F.round(x_t - x_s, 6)
-        return dx
+    v = spark.createDataFrame(NODES, "id bigint, x double, time bigint, color string, size bigint")
+    g = Graph(v).create_edges_ft(("time", 5), relate)
+    return g._with(e=g.e.withColumnRenamed("ft_r", "dt"))
 
-    def same_color(color_s, color_t):
-        same_color = color_s == color_t
-        return same_color
 
-    def larger_than(size_s, size_t):
-        larger_than = size_s > size_t
-        return larger_than
+def related():
+    """The edges of the five nodes, by a loop: s, t, dt, mid, growth, all_g."""
+    out = []
+    for a, b in itertools.combinations(NODES, 2):
+        if b[2] - a[2] <= 5:
+            out.append((a[0], b[0], b[2] - a[2], round((a[1] + b[1]) / 2, 6), b[4] - a[4], a[3] == b[3] == "g"))
+    return out
 
-    g = Graph(v).create_edges_ft(("time", 5), [dx, same_color, larger_than])
-    return g._with(e=g.e.withColumnRenamed("ft_r", "dt"))
+
+def grouped(keys):
+    """How many edges share each key."""
+    return sorted(((*k, n) for k, n in Counter(map(keys, related())).items()), key=repr)
 
 
 def test_edges_of_five(five, rows):
-    assert rows(five.e, "s", "t", "dx", "dt", "larger_than", "same_color") == sorted(
-        [(0, 1, 5.5, 1, False, True), (0, 2, 2.3, 2, False, False), (0, 3, 4.3, 5, False, True), (1, 2, -3.2, 1, True, False), (1, 3, -1.2, 4, False, True), (2, 3, 2.0, 3, False, False), (3, 4, 1.4, 4, True, False)], key=repr
-    )
-    assert (five.n, five.m) == (5, 7) and "larger_than" in repr(five)
+    assert rows(five.e, "s", "t", "dt", "mid", "growth", "all_g") == sorted(related(), key=repr)
+    assert (five.n, five.m) == (5, 7) and "growth" in repr(five)
 
 
 def test_partition_nodes(five, rows):
@@ -67,13 +77,56 @@ def test_partition_rules(spark, five, rows):
 
 
 def test_partition_edges(five, rows):
-    assert rows(five.partition_edges("larger_than", relation_funcs={"same_color": "sum"}), "larger_than", "n_edges", "same_color") == [(False, 5, 3), (True, 2, 0)]
-    assert rows(five.partition_edges(["larger_than", "same_color"]), "larger_than", "same_color", "n_edges") == [(False, False, 2), (False, True, 3), (True, False, 2)]
-    mixed = five.partition_edges("larger_than", "color", "size")
-    assert rows(mixed, "larger_than", "color_s", "size_t", "n_edges") == [(False, "b", 3, 1), (False, "g", 2, 1), (False, "g", 3, 3), (True, "g", 1, 1), (True, "g", 2, 1)]
-    means = five.partition_edges("larger_than", relation_funcs={"dx": ["mean", "std"]})
-    got = {r["larger_than"]: (round(r["dx_mean"], 6), round(r["dx_std"], 6)) for r in means.collect()}
-    assert got == {False: (2.58, 2.558711), True: (-0.9, 3.252691)}
+    assert rows(five.partition_edges("all_g"), "all_g", "n_edges") == grouped(lambda e: (e[5],))
+    assert rows(five.partition_edges(["all_g", "growth"]), "all_g", "growth", "n_edges") == grouped(lambda e: (e[5], e[4]))
+    sums = {r["all_g"]: (r["growth"], r["mid"]) for r in five.partition_edges("all_g", relation_funcs={"growth": "sum", "mid": "min"}).collect()}
+    assert sums == {k: (sum(e[4] for e in related() if e[5] == k), min(e[3] for e in related() if e[5] == k)) for k in (True, False)}
+    mixed = five.partition_edges("growth", "color", "size")
+    assert rows(mixed, "growth", "color_s", "size_t", "n_edges") == grouped(lambda e: (e[4], NODES[e[0]][3], NODES[e[1]][4]))
+    for r in five.partition_edges("all_g", relation_funcs={"mid": ["mean", "std", "median", "q0.9"]}).collect():
+        x = [e[3] for e in related() if e[5] == r["all_g"]]
+        assert np.allclose([r["mid_mean"], r["mid_std"], r["mid_median"], r["mid_q0.9"]], [np.mean(x), np.std(x, ddof=1), np.median(x), np.quantile(x, 0.9)])
+    assert [r["growth"] for r in five.partition_edges("growth", sort=True).collect()] == [-2, -1, 0, 1, 2]
+
+
+def test_ends_that_are_no_nodes(spark, five, rows):
+    lost = five._with(e=five.e.select("s", "t").unionByName(spark.createDataFrame([(0, 77)], "s bigint, t bigint")))
+    assert rows(lost.partition_edges(target_features="color"), "color_t", "n_edges") == rows(five.partition_edges(target_features="color"), "color_t", "n_edges")
+    assert lost.partition_edges(source_features="color", validate=True).count() > 0
+    with pytest.raises(KeyError, match="77"):
+        lost.partition_edges(target_features="color", validate=True)
+    with pytest.raises(KeyError, match="None"):
+        five._with(e=spark.createDataFrame([(None, 1)], "s bigint, t bigint")).partition_edges(None, "color", validate=True)
+
+
+def test_hubs_are_salted(spark, rows):
+    """One node starts a third of all edges: features, filters, indices and codes join it salted, with the same result."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        v = spark.range(300).selectExpr("id", "id % 5 as k")
+        e = spark.range(9000).selectExpr("if(id % 3 = 0, 7, id % 310) as s", "(id * 7) % 300 as t")
+        g = Graph(v, e)
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        for df in (g.update_edges().e, g.partition_edges(source_features="k"), g.return_cs_graph(), Graph(e, node_id="t", supernode_labels_by={"c": "s"}).v):
+            assert "__salt" in plan(df)
+        starts = [7 if k % 3 == 0 else k % 310 for k in range(9000)]
+        assert g.update_edges().m == sum(x < 300 for x in starts) == g.return_cs_graph().count()
+        assert rows(g.partition_edges(source_features="k"), "k_s", "n_edges") == sorted(Counter(x % 5 for x in starts if x < 300).items())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("q", [0, 0.25, 0.5, 0.9, 1])
+def test_group_quantiles(spark, q):
+    rng = random.Random(9)
+    data = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([1, 2]), rng.choice([None, float("nan"), rng.uniform(-9, 9), 3.0])) for _ in range(400)] + [("c", 1, None)]
+    got = {(r["k"], r["j"]): r["p"] for r in group_quantiles(spark.createDataFrame(data, "k string, j int, x double"), ["k", "j"], "x", {"p": q}).collect()}
+    groups = {}
+    for k, j, x in data:
+        if k and x is not None and x == x:
+            groups.setdefault((k, j), []).append(x)
+    assert got.keys() == groups.keys() and all(np.isclose(got[k], np.quantile(x, q)) for k, x in groups.items())
 
 
 def test_partition_graph(five, rows):
@@ -95,7 +148,7 @@ def test_filters(spark, five, rows):
     assert five.filter_by_interval_v("time", (1, 5), endpoint=False).n == 2
     assert five.filter_by_interval_e("dt", (1, 2)).m == 3 and five.filter_by_interval_e("dt", (1, 2), endpoint=False).m == 2
     assert five.filter_by_values_v("color", "g").m == 3 and five.filter_by_values_v("size", [1, 2]).n == 3
-    assert five.filter_by_values_e("same_color", True).m == 3
+    assert five.filter_by_values_e("all_g", True).m == 3
     v = spark.createDataFrame([(0, 1.0), (1, float("nan")), (2, None)], "id bigint, x double")
     g = Graph(v)
     assert g.filter_by_values_v("x", [float("nan")]).n == 2 and g.filter_by_values_v("x", [1.0, None]).n == 3 and g.filter_by_values_v("x", 1.0).n == 1
@@ -128,7 +181,8 @@ def test_bins(spark, rows):
 
 def test_datetime_categories(spark):
     v = spark.createDataFrame([(h, dt.datetime(2020, h + 1, 3, 2 * h)) for h in range(12)], "id bigint, time timestamp")
-    got = Graph(v).append_datetime_categories_v().v.orderBy("id").collect()
+    got = Graph(v).append_datetime_categories_v(timeofday=True, met_season=True).v.orderBy("id").collect()
+    assert Graph(v).append_datetime_categories_v().v.columns == ["id", "time"]
     assert [r["time_timeofday"] for r in got] == [2 * h // 6 for h in range(12)]
     assert [r["time_season"] for r in got] == [(h + 1) % 12 // 3 for h in range(12)]
     assert Graph(v).append_datetime_categories_v("time", timeofday="tod").v.columns == ["id", "time", "tod"]
@@ -170,9 +224,12 @@ def test_components_at_random(spark, seed):
 
 @pytest.fixture(scope="module")
 def holes(spark):
-    e = [(0, 1, None, 1.0, False, True, 5.5), (0, 2, None, None, False, False, 1.15), (0, 3, None, 5.0, None, True, 0.86), (1, 2, None, 1.0, True, None, -3.2), (1, 3, None, 4.0, False, True, None), (2, 3, 2.0, 3.0, False, False, 0.67), (3, 4, 1.4, 4.0, True, False, 0.35)]
+    # fixed values: which cells are unknown (column, row)
+    unknown = {("dx", 0), ("dx", 1), ("dx", 2), ("dx", 3), ("dx", 4), ("dt", 1), ("up", 2), ("g", 3), ("w", 4)}
+    full = [(s, t, {"dx": [9.0, 8.0, 7.0, 6.0, 5.0, 2.0, 1.4][k], "dt": float(d), "up": w > 0, "g": g, "w": m}) for k, (s, t, d, m, w, g) in enumerate(related())]
+    e = [(s, t, *[None if (c, k) in unknown else x for c, x in row.items()]) for k, (s, t, row) in enumerate(full)]
     v = spark.createDataFrame([(k, float(k)) for k in range(5)], "id bigint, x double")
-    return Graph(v, spark.createDataFrame(e, "s bigint, t bigint, dx double, dt double, larger_than boolean, same_color boolean, v double"))
+    return Graph(v, spark.createDataFrame(e, "s bigint, t bigint, dx double, dt double, up boolean, g boolean, w double"))
 
 
 def test_exports(spark, holes, rows):
@@ -188,13 +245,15 @@ def test_exports(spark, holes, rows):
     assert holes.return_nx_multigraph()[1].columns == ["s", "t", "relation"]
     shifted = Graph(holes.v.withColumn("id", F.col("id") + 2), holes.e.withColumns({"s": F.col("s") + 2, "t": F.col("t") + 2}))
     assert rows(shifted.return_cs_graph("dx"), "i", "j", "value") == [(2, 3, 2.0), (3, 4, 1.4)]
-    vertices, arcs, kinds = shifted.return_gt_graph(features=True, relations=["dt"])
+    vertices, arcs, kinds = shifted.return_gt_graph(features=True, relations=["dt"], node_indices=True, edge_indices=True)
+    assert vertices.columns == ["i", "id", "x"] and shifted.return_gt_graph(relations=["dt"])[1].columns == ["i", "j", "dt"] and shifted.return_gt_graph()[0].columns == ["i"]
     assert vertices.count() == 5 and arcs.columns == ["i", "j", "s", "t", "dt"] and kinds["dt"] == "double" and kinds["i"] == "int64_t"
     twice = Graph(holes.v, holes.e.unionByName(holes.e))
     with pytest.raises(ValueError):
-        twice.return_nx_graph(relations="dt")
+        twice.return_nx_graph(relations="dt", check=True)
+    assert twice.return_nx_graph(relations="dt")[1].count() == 14
     assert twice.return_nx_multigraph(relations=["dt"])[1].count() == 12
-    assert {r["column"]: r["n"] for r in holes.r.collect()} == {"dx": 2, "dt": 6, "larger_than": 6, "same_color": 6, "v": 6}
+    assert {r["column"]: r["n"] for r in holes.r.collect()} == {"dx": 2, "dt": 6, "up": 6, "g": 6, "w": 6}
     assert {r["column"]: r["n"] for r in holes.f.collect()} == {"x": 5}
 
 
@@ -202,7 +261,7 @@ def test_plot_tables(five, rows):
     shown = five.plot_2d("x", "time", edges=True, C="dt", C_split_0=True)
     r = shown["arrows"].where("s = 0 and t = 1").first()
     assert (r["xs"], r["ys"], round(r["dx"], 6), r["dy"], r["color"], r["zero"]) == (-3.4, 0, 5.5, 1, 1, False)
-    assert {k: round(v, 3) for k, v in rows(shown["limits"].withColumn("low", F.col("low")), "axis", "low")} == {"x": -3.4 - 0.285, "time": -0.45}
+    assert {k: round(v, 3) for k, v in rows(shown["limits"].withColumn("low", F.col("low")), "axis", "low")} == {"x": -3.4 - 0.285, "time": -0.45, "color": 1.0}
     frames = list(five.plot_2d_generator("x", "time", "color"))
     assert [(f, p.count(), a.count()) for f, p, a in frames] == [("b", 1, 0), ("g", 3, 3), ("r", 1, 0)]
     z = five.plot_3d("x", "time", "size", edges=True)["arrows"].where("s = 0 and t = 1").first()
@@ -235,3 +294,11 @@ def test_hypergeometric(spark):
         big, small = max(r["a"], r["b"]), min(r["a"], r["b"])
         want = sum(comb(big, j) * comb(40 - big, small - j) for j in range(r["k"] + 1, small + 1)) / comb(40, small)
         assert abs(r["p"] - want) < 1e-9
+
+
+def test_directions_and_kinds(spark, rows):
+    e = spark.createDataFrame([(1, 2, 1.0, "a"), (2, 1, 0.5, "b"), (1, 2, 2.0, "a"), (3, 3, 1.0, None), (1, 3, None, "c"), (None, 1, 4.0, "a"), (2, 1, 1.0, "a")], "s bigint, t bigint, w double, kind string")
+    g = Graph(spark.range(1, 4), e)
+    assert rows(g.undirected("w").e, "s", "t", "w") == [(1, 2, 4.5), (1, 3, 0.0), (2, 1, 4.5), (3, 1, 0.0), (3, 3, 2.0)]
+    assert rows(g.dominant("kind").e, "s", "t", "dominant") == [(1, 2, "a"), (1, 3, "c"), (2, 1, "a"), (3, 3, None)]
+    assert rows(reversed_edges(e, "s", "t").where("w = 0.5"), "s", "t", "kind") == [(1, 2, "b")] and g._with(e=e.limit(0)).undirected(["w"]).m == 0

@@ -32,6 +32,21 @@ def test_pajek(spark, tmp_path, rows):
     assert rows(read_pajek(spark, str(tmp_path / "m.net"))[1], "s", "t", "weight") == [(1, 2, 1.0), (2, 3, 2.5), (3, 1, 1.0)]
 
 
+def test_pajek_matrix_with_gaps(spark, tmp_path, rows):
+    """Rows of a matrix are counted without blank lines and comments, also where the file is read in parts."""
+    (tmp_path / "gaps.net").write_text("*Vertices 3\n*Matrix\n0 1 0\n\n% note\n0 0 2.5\n1 0 0\n")
+    assert rows(read_pajek(spark, str(tmp_path / "gaps.net"))[1], "s", "t", "weight") == [(1, 2, 1.0), (2, 3, 2.5), (3, 1, 1.0)]
+    n = 200
+    lines = "\n".join(("% remark\n" if k % 7 == 0 else "") + " ".join("1" if j == (k + 1) % n else "0" for j in range(n)) for k in range(n))
+    (tmp_path / "wide.net").write_text(f"*Vertices {n}\n*Matrix\n{lines}\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        assert rows(read_pajek(spark, str(tmp_path / "wide.net"))[1], "s", "t") == sorted([(k + 1, (k + 1) % n + 1) for k in range(n)], key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_npy(spark, tmp_path):
     a = np.arange(70.0).reshape(35, 2)
     np.save(tmp_path / "a.npy", a)
