@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,15 +58,22 @@ def weak_components(edges: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def _spread(edges: DataFrame, labels: DataFrame, hot: list) -> DataFrame:
-    """Labels after every node took the least label among its own and its predecessors'."""
+    """Labels after every node took the least among its own, its predecessors', and the label of the node it then points to.
+
+    A label is the number of a node from which this one is reached, so what reaches that node reaches this one: the last step lets
+    labels jump. With numbers in random order a label comes from anywhere in what has been seen, and what is seen grows by a
+    constant factor a round, however long the paths are.
+    """
     sent = skew_join(edges, labels.select(F.col("node").alias("u"), F.col("label").alias("l")), "u", hot=hot).groupBy(F.col("v").alias("node")).agg(F.min("l").alias("l"))
-    return labels.join(sent, "node", "left").select("node", F.least("label", "l").alias("label"))
+    near = labels.join(sent, "node", "left").select("node", F.least("label", "l").alias("label"))
+    far = labels.select(F.col("node").alias("label"), F.col("label").alias("l"))
+    return skew_join(near, far, "label", "left").select("node", F.least("label", "l").alias("label"))
 
 
 def _fixpoint(edges: DataFrame, labels: DataFrame) -> DataFrame:
     labels, mark = _noted(labels, "labels", "node", "label")
     hot = [] if sent_whole(labels) else hot_keys(edges, "u")
-    for _ in range(MAX_ROUNDS * 20):
+    for _ in range(MAX_ROUNDS):
         before = mark
         after, mark = _noted(_spread(edges, labels, hot), "labels", "node", "label")
         discard(labels)
@@ -77,46 +86,53 @@ def _fixpoint(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(node, root): nodes on a directed cycle and the least node of their strong component; all other nodes are their own root and left out.
 
-    Nodes without an edge in or out are trimmed; least labels spread forward and colour the rest; within a colour the nodes
-    from which its root is reached form its component. What remains is coloured again.
+    Nodes get numbers in random order. The least number that reaches a node colours it; within a colour the nodes that reach its root, found
+    the same way against the edges, form its component. What remains is coloured again, within its old colour: in expectation a
+    logarithmic number of times (Blelloch, Gu, Shun and Sun, 2016). Nodes without an edge in or out are taken off first, as long as
+    that makes the graph markedly smaller. NULL ends and loops are ignored.
     """
     s, t = F.col(source), F.col(target)
-    left = materialize(edges.where(s != t).select(s.alias("u"), t.alias("v")).distinct(), "arcs")
+    arcs = materialize(edges.where(s != t).select(s.alias("u"), t.alias("v")).distinct(), "arcs")
+    ends = arcs.select(F.col("u").alias("node")).unionAll(arcs.select(F.col("v").alias("node"))).distinct()
+    number = with_position(ends, [F.xxhash64("node"), "node"], "k")
+    left = skew_join(skew_join(arcs, number.select(F.col("node").alias("u"), F.col("k").alias("a")), "u"), number.select(F.col("node").alias("v"), F.col("k").alias("b")), "v")
+    n = F.count(F.lit(1)).alias("n")
+    left, seen = materialize_seen(left.select(F.col("a").alias("u"), F.col("b").alias("v")), "arcs", n)
+    discard(arcs)
     done: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
-        n = left.count()
-        while n:  # trim
-            ins, outs = left.select("v").distinct(), left.select("u").distinct()
-            kept = left.join(ins.withColumnRenamed("v", "u"), "u", "left_semi").join(outs.withColumnRenamed("u", "v"), "v", "left_semi")
-            kept = materialize(kept.select("u", "v"), "arcs")
+        while seen["n"]:  # trim
+            before = seen["n"]
+            ins, outs = left.select(F.col("v").alias("u")).distinct(), left.select(F.col("u").alias("v")).distinct()
+            kept, seen = materialize_seen(skew_join(skew_join(left, ins, "u", "left_semi"), outs, "v", "left_semi").select("u", "v"), "arcs", n)
             discard(left)
-            left, before, n = kept, n, kept.count()
-            if n == before:
+            left = kept
+            if seen["n"] > before * 0.9:
                 break
-        if not n:
+        if not seen["n"]:
             break
-        nodes = left.select(F.col("u").alias("node")).distinct()
+        nodes = left.select(F.col("u").alias("node")).unionAll(left.select(F.col("v").alias("node"))).distinct()
         colour = _fixpoint(left, nodes.select("node", F.col("node").alias("label")))
-        inside = left.join(colour.select(F.col("node").alias("u"), F.col("label").alias("c")), "u").join(colour.select(F.col("node").alias("v"), F.col("label").alias("d")), "v").where("c = d")
-        inside = materialize(inside.select("u", "v"), "arcs")
-        back = inside.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        # a node reaches its colour's root if the root's mark, 0, comes back to it
-        start = colour.select("node", F.when(F.col("node") == F.col("label"), 0).otherwise(1).alias("label"))
-        reached = _fixpoint(back, start).where("label = 0").select("node")
-        found = materialize(colour.join(reached, "node", "left_semi").select("node", F.col("label").alias("root")), "strong")
+        inside = skew_join(skew_join(left, colour.select(F.col("node").alias("u"), F.col("label").alias("c")), "u"), colour.select(F.col("node").alias("v"), F.col("label").alias("d")), "v")
+        inside = materialize(inside.where("c = d").select("u", "v"), "arcs")
+        # the root is the least of its colour: it is the least that a node reaches within it, if the node reaches it at all
+        back = _fixpoint(inside.select(F.col("v").alias("u"), F.col("u").alias("v")), nodes.select("node", F.col("node").alias("label")))
+        same = colour.join(back.select("node", F.col("label").alias("low")), "node").where("label = low")
+        found = materialize(same.select("node", F.col("label").alias("root")), "strong")
         done.append(found)
-        rest = inside.join(found.select(F.col("node").alias("u")), "u", "left_anti").join(found.select(F.col("node").alias("v")), "v", "left_anti")
-        rest = materialize(rest.select("u", "v"), "arcs")
-        discard(left)
-        discard(inside)
+        gone = found.select(F.col("node").alias("u"))
+        rest = skew_join(skew_join(inside, gone, "u", "left_anti"), gone.withColumnRenamed("u", "v"), "v", "left_anti")
+        rest, seen = materialize_seen(rest.select("u", "v"), "arcs", n)
+        for table in (left, inside, colour, back):
+            discard(table)
         left = rest
     if not done:
-        return left.select(F.col("u").alias("node"), F.col("u").alias("root")).limit(0)
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionAll(more)
-    sizes = out.groupBy("root").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    return skew_join(out, sizes.select("root"), "root", "left_semi").select("node", "root")
+        return number.select("node", F.col("node").alias("root")).limit(0)
+    out = reduce(DataFrame.unionAll, done)
+    several = out.groupBy("root").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("root")
+    named = skew_join(out, several, "root", "left_semi").join(number.select(F.col("k").alias("node"), F.col("node").alias("name")), "node")
+    least = named.groupBy("root").agg(F.min("name").alias("least"))
+    return skew_join(named, least, "root").select(F.col("name").alias("node"), F.col("least").alias("root"))
 
 
 def label_components(v: DataFrame, roots: DataFrame, node_id: str, name: str, label_by_size: bool = True, consolidate_singles: bool = False) -> DataFrame:

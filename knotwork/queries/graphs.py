@@ -13,7 +13,10 @@ from ..functions.vectors import dot, whiten
 from ..graph import Graph
 from ..operators import plotdata
 from ..operators.pairs import keyed_pairs
+from ..plans.metrics import read_log
 from ..plans.pairfunctions import connector, selector
+from ..session import scratch_path
+from ..sources import TableStore, read_pajek, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -148,6 +151,12 @@ def pairs_vectorized(spark: SparkSession, sf: str) -> DataFrame:
     return suppliers(spark, sf).create_edges(span, near).e
 
 
+@query(SQL["pairs_selector"])
+def pairs_chunked(spark: SparkSession, sf: str) -> DataFrame:
+    """The same pairs with a chunk size asked for: Spark's partitions are the chunks, so it changes nothing."""
+    return suppliers(spark, sf).create_edges(gap, close, step_size=1000).e
+
+
 # --- bands ---
 
 _EVENTS = "SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos FROM events"
@@ -170,6 +179,36 @@ def band_ts_same_user(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).create_edges_ft(("ts", 1, "D"), rise, on="user_id").e
 
 
+@query(SQL["band_ts"])
+def band_ts_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, with a check that the row order is that of the times, and with chunk sizes, which change nothing."""
+    return events(spark, sf).create_edges_ft(("ts", 10, "m"), require_sorted=True, max_pairs=100, min_chunk_size=10).e
+
+
+@query(f"""SELECT a.event_id AS s, b.event_id AS t, (epoch_us(b.ts) - epoch_us(a.ts)) * 1000 AS ft_r FROM ({_EVENTS}) a JOIN ({_EVENTS}) b
+  ON a.pos < b.pos AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 10 MINUTE""")
+def band_bigint(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in nanoseconds as whole numbers, which doubles can't tell apart."""
+    v = _table(spark, sf, "events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ns"))
+    return Graph(v, node_id="event_id", order_by="ns").create_edges_ft(("ns", 600_000_000_000)).e
+
+
+@query(f"""SELECT 'create_edges_ft' AS step, count(*) AS pairs, count(*) FILTER (a.event_type = b.event_type) AS edges FROM ({_EVENTS}) a JOIN ({_EVENTS}) b
+  ON a.pos < b.pos AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 10 MINUTE
+  UNION ALL SELECT 'create_edges', count(*), count(*) FILTER (abs(round(b.s_acctbal - a.s_acctbal, 2)) <= 500) FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey""")
+def run_log(spark: SparkSession, sf: str) -> DataFrame:
+    """What two runs wrote to their log: pairs met and edges kept."""
+
+    @selector()
+    def same_type(event_type_s, event_type_t):
+        return event_type_s == event_type_t
+
+    at = scratch_path(spark, "log")
+    suppliers(spark, sf).create_edges(gap, close, logfile=at)
+    events(spark, sf).create_edges_ft(("ts", 10, "m"), selectors=same_type, logfile=at)
+    return read_log(spark, at).select("step", "pairs", "edges")
+
+
 _PARTS = "SELECT *, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS pos FROM part"
 
 
@@ -240,20 +279,45 @@ def partition_nodes_aggs(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({"c_acctbal_sum": F.round("c_acctbal_sum", 2), **{c: F.round(c, 6) for c in ("c_acctbal_mean", "c_acctbal_std", "c_acctbal_median")}})
 
 
-@query("SELECT color, count(*) AS n_nodes, CAST(coalesce(sum(size), 0) AS BIGINT) AS size_sum, list(time ORDER BY v_n, layer, time) AS time_list FROM (SELECT DISTINCT v_n, layer, x, y, time, color, size FROM layer_nodes) WHERE color IS NOT NULL AND layer = 'cell' GROUP BY 1")
-def partition_nodes_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """Values of a group as a list in row order."""
-    nodes = _table(spark, sf, "layer_nodes").distinct().where("layer = 'cell'")
-    return Graph(nodes, node_id="v_n", order_by=["v_n", "layer", "time"]).partition_nodes("color", {"size": ["sum"], "time": ["list"]})
-
-
 @query("SELECT layer, color, count(*) AS n_nodes, CAST(coalesce(sum(size), 0) AS BIGINT) AS size_sum, list(time ORDER BY v_n, time) AS time_list FROM (SELECT DISTINCT v_n, layer, x, y, time, color, size FROM layer_nodes) WHERE color IS NOT NULL AND layer IS NOT NULL GROUP BY 1, 2")
-def partition_nodes_lists_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The same lists for the colors of every layer."""
+def partition_nodes_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of a group as a list in row order: each list is as long as its group of layer and color."""
     nodes = _table(spark, sf, "layer_nodes").distinct()
     return Graph(nodes, node_id="v_n", order_by=["v_n", "layer", "time"]).partition_nodes(["layer", "color"], {"size": ["sum"], "time": ["list"]})
 
 
+@query("""SELECT n_regionkey, count(*) AS n_nodes, string_agg(n_name, '' ORDER BY n_nationkey) AS n_name_sum, list_sort(list(DISTINCT n_name)) AS n_name_set, list(n_name ORDER BY n_nationkey) AS n_name_tuple,
+  round(quantile_cont(n_nationkey, 0.9), 6) AS "n_nationkey_q0.9", max(n_nationkey) - min(n_nationkey) AS n_nationkey_reach FROM nation GROUP BY 1""")
+def partition_nodes_collected(spark: SparkSession, sf: str) -> DataFrame:
+    """Joined strings, sets, tuples, a quantile and an aggregate of the caller's own."""
+
+    def reach(c: Column) -> Column:
+        return F.max(c) - F.min(c)
+
+    g = Graph(_table(spark, sf, "nation"), node_id="n_nationkey")
+    out = g.partition_nodes("n_regionkey", {"n_name": ["sum", "set", "tuple"], "n_nationkey": ["q0.9", reach]})
+    return out.withColumn("n_nationkey_q0.9", F.round("`n_nationkey_q0.9`", 6))
+
+
+@query("""SELECT c_mktsegment, c_nationkey, count(*) AS n, round(max(c_acctbal) - min(c_acctbal), 2) AS reach FROM customer WHERE c_mktsegment IS NOT NULL AND c_nationkey IS NOT NULL GROUP BY 1, 2""")
+def partition_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """A function of the caller's over each group, by the handle the partition returns: a group must fit a task there, unlike with aggregates."""
+
+    def spread(frame):  # noqa: ANN001, ANN202
+        x = frame["c_acctbal"]
+        return frame.head(1)[["c_mktsegment", "c_nationkey"]].assign(n=len(x), reach=round(x.max() - x.min(), 2))
+
+    g = Graph(_table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal"), node_id="c_custkey")
+    _, groups = g.partition_nodes(["c_mktsegment", "c_nationkey"], return_gv=True)
+    return groups.applyInPandas(spread, "c_mktsegment string, c_nationkey int, n bigint, reach double")
+
+
+@query("SELECT p_brand, p_size, count(*) AS n_nodes FROM part WHERE p_brand IS NOT NULL AND p_size IS NOT NULL GROUP BY 1, 2 ORDER BY 1, 2")
+def partition_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups in the order of their keys."""
+    return Graph(_table(spark, sf, "part"), node_id="p_partkey").partition_nodes(["p_brand", "p_size"], sort=True)
+
+
 @query("""SELECT c_nationkey, c_mktsegment, count(*) AS n_nodes, round(coalesce(sum(c_acctbal), 0), 2) AS c_acctbal,
   2 - (grouping(c_nationkey) + grouping(c_mktsegment)) AS level FROM customer WHERE c_nationkey IS NOT NULL AND c_mktsegment IS NOT NULL GROUP BY ROLLUP (c_nationkey, c_mktsegment)""")
 def partition_rollup(spark: SparkSession, sf: str) -> DataFrame:
@@ -386,6 +450,24 @@ def histogram(spark: SparkSession, sf: str) -> DataFrame:
     return Graph.plot_hist(_table(spark, sf, "lineitem"), "l_quantity", [0, 10, 20, 30, 50])
 
 
+@query("""WITH g AS (SELECT unnest([1, 2, 3, 4]) AS bin, unnest([0.0, 10, 20, 30]) AS "left", unnest([10.0, 20, 30, 50]) AS "right"), n AS (SELECT count(l_quantity) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50)
+  SELECT CAST(bin AS BIGINT) AS bin, CAST("left" AS DOUBLE) AS "left", CAST("right" AS DOUBLE) AS "right", round(CAST(nullif(count(l_quantity), 0) AS DOUBLE) / any_value(n) / ("right" - "left"), 9) AS count
+  FROM g LEFT JOIN lineitem ON l_quantity >= "left" AND (l_quantity < "right" OR ("right" = 50 AND l_quantity = 50)), n GROUP BY 1, g."left", g."right" """)
+def histogram_density(spark: SparkSession, sf: str) -> DataFrame:
+    out = Graph.plot_hist(_table(spark, sf, "lineitem"), "l_quantity", [0, 10, 20, 30, 50], density=True)
+    return out.select("bin", "left", "right", F.round("count", 9).alias("count"))
+
+
+@query("""WITH m AS (SELECT log10(min(l_quantity)) AS lo, log10(max(l_quantity)) AS hi, max(l_quantity) AS top FROM lineitem), c AS (SELECT *, CAST(ceil((hi - lo) * 4) AS INT) AS n FROM m),
+  e AS (SELECT k, CASE WHEN k = n - 1 THEN top ELSE 10 ** (lo + k * ((hi - lo) / (n - 1))) END AS x, n FROM c, range(20) t(k) WHERE k < n),
+  b AS (SELECT a.k + 1 AS bin, a.x AS l, b.x AS r, a.k = a.n - 2 AS final FROM e a JOIN e b ON b.k = a.k + 1)
+  SELECT bin, round(l, 9) AS "left", round(r, 9) AS "right", nullif(count(l_quantity), 0) AS count FROM b LEFT JOIN lineitem ON l_quantity >= l AND (l_quantity < r OR (final AND l_quantity <= r)) GROUP BY 1, 2, 3""")
+def histogram_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Logarithmic bins, 4 edges per factor of ten."""
+    out = Graph.plot_hist(_table(spark, sf, "lineitem"), "l_quantity", log_bins=4)
+    return out.select("bin", F.round("left", 9).alias("left"), F.round("right", 9).alias("right"), "count")
+
+
 @query("SELECT event_id, CAST(hour(ts) // 6 AS TINYINT) AS part_of_day FROM events")
 def time_of_day(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).append_datetime_categories_v("ts", timeofday="part_of_day").v.select("event_id", "part_of_day")
@@ -403,30 +485,28 @@ def super_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- components ---
 
-_CLOSE = "SELECT a.s_suppkey AS s, b.s_suppkey AS t FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND abs(round(b.s_acctbal - a.s_acctbal, 2)) <= 4 AND a.s_nationkey % 5 = b.s_nationkey % 5"
-_REACH = f"""WITH RECURSIVE l AS ({_CLOSE}), d AS (SELECT s, t FROM l UNION SELECT t, s FROM l), r(id, seen) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT r.id, d.t FROM r JOIN d ON d.s = r.seen),
-  g AS (SELECT id, min(seen) AS root FROM r GROUP BY id), z AS (SELECT root, count(*) AS n FROM g GROUP BY root)"""
+_CLOSE = "SELECT a.s_suppkey AS s, b.s_suppkey AS t FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND abs(round(b.s_acctbal - a.s_acctbal, 2)) <= 4"
+_LINKED = "SELECT s, t FROM layer_edges WHERE s IN (SELECT v_n FROM layer_nodes) AND t IN (SELECT v_n FROM layer_nodes)"
 
 
-def close_suppliers(spark: SparkSession, sf: str) -> Graph:
-    g = suppliers(spark, sf)
-    g = g._with(v=g.v.withColumn("group", F.col("s_nationkey") % 5))
+def _reach(links: str, nodes: str) -> str:
+    """Components in SQL: g (id, root), the root being the least node reached, and z (root, n)."""
+    return f"""WITH RECURSIVE l AS ({links}), d AS (SELECT s, t FROM l UNION SELECT t, s FROM l), r(id, seen) AS (SELECT id, id FROM ({nodes}) UNION SELECT r.id, d.t FROM r JOIN d ON d.s = r.seen),
+      g AS (SELECT id, min(seen) AS root FROM r GROUP BY id), z AS (SELECT root, count(*) AS n FROM g GROUP BY root)"""
 
-    @selector()
-    def within_four(gap):
-        return F.abs(gap) <= 4
 
-    return g.create_edges(gap, within_four, on="group")
+_LAYERED = _reach(_LINKED, "SELECT DISTINCT v_n AS id FROM layer_nodes")
 
 
-@query(f"{_REACH} SELECT id AS s_suppkey, dense_rank() OVER (ORDER BY n DESC, root) - 1 AS cp FROM g JOIN z USING (root)")
-def components(spark: SparkSession, sf: str) -> DataFrame:
-    return close_suppliers(spark, sf).append_cp().v.select("s_suppkey", "cp")
+@query(f"{_reach(_CLOSE, 'SELECT s_suppkey AS id FROM supplier')} SELECT id AS s_suppkey, dense_rank() OVER (ORDER BY n DESC, root) - 1 AS cp FROM g JOIN z USING (root)")
+def components_of_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers whose balances are within four of each other, in a chain: components of selected pairs."""
 
+    @selector()
+    def within_four(gap):
+        return F.abs(gap) <= 4
 
-@query(f"{_REACH} SELECT id AS s_suppkey, CASE WHEN n = 1 THEN 0 ELSE dense_rank() OVER (ORDER BY n DESC, CASE WHEN n > 1 THEN root END) END AS cp FROM g JOIN z USING (root)")
-def components_singles(spark: SparkSession, sf: str) -> DataFrame:
-    return close_suppliers(spark, sf).append_cp(consolidate_singles=True).v.select("s_suppkey", "cp")
+    return suppliers(spark, sf).create_edges(gap, within_four).append_cp().v.select("s_suppkey", "cp")
 
 
 def layers(spark: SparkSession, sf: str) -> Graph:
@@ -434,27 +514,28 @@ def layers(spark: SparkSession, sf: str) -> Graph:
     return Graph(_table(spark, sf, "layer_nodes").select("v_n").distinct(), _table(spark, sf, "layer_edges").select("s", "t"), node_id="v_n").update_edges()
 
 
-@query()
-def components_all(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"{_LAYERED} SELECT id AS v_n, dense_rank() OVER (ORDER BY n DESC, root) - 1 AS cp FROM g JOIN z USING (root)")
+def components(spark: SparkSession, sf: str) -> DataFrame:
     return layers(spark, sf).append_cp().v.select("v_n", "cp")
 
 
-@query()
-def components_singles_all(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"{_LAYERED} SELECT id AS v_n, CASE WHEN n = 1 THEN 0 ELSE dense_rank() OVER (ORDER BY CASE WHEN n > 1 THEN n ELSE 0 END DESC, CASE WHEN n > 1 THEN root END) END AS cp FROM g JOIN z USING (root)")
+def components_singles(spark: SparkSession, sf: str) -> DataFrame:
     return layers(spark, sf).append_cp(consolidate_singles=True).v.select("v_n", "cp")
 
 
-_ARCS = "SELECT DISTINCT n_nationkey AS s, (n_nationkey * 7 + 3) % 25 AS t FROM nation UNION SELECT n_nationkey, (n_nationkey * 3) % 25 FROM nation WHERE n_nationkey % 4 = 0"
+@query(f"{_LAYERED} SELECT dense_rank() OVER (ORDER BY n DESC, root) - 1 AS cp, n AS n_nodes FROM z ORDER BY n DESC, root LIMIT 5")
+def components_top(spark: SparkSession, sf: str) -> DataFrame:
+    """The five largest components: labels are ranks, so the top is an interval of them."""
+    return layers(spark, sf).append_cp().filter_by_interval_v("cp", (0, 5), endpoint=False).partition_nodes("cp")
 
 
-@query(f"""WITH RECURSIVE d AS ({_ARCS}), r(a, b) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT r.a, d.t FROM r JOIN d ON d.s = r.b),
+@query(f"""WITH RECURSIVE d AS (SELECT DISTINCT s, t FROM ({_LINKED}) WHERE s <> t), n AS (SELECT DISTINCT v_n AS id FROM layer_nodes), r(a, b) AS (SELECT id, id FROM n UNION SELECT r.a, d.t FROM r JOIN d ON d.s = r.b),
   g AS (SELECT x.a AS id, min(x.b) AS root FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1), z AS (SELECT root, count(*) AS n FROM g GROUP BY root)
-  SELECT id AS n_nationkey, dense_rank() OVER (ORDER BY n DESC, root) - 1 AS cp FROM g JOIN z USING (root)""")
+  SELECT id AS v_n, dense_rank() OVER (ORDER BY n DESC, root) - 1 AS cp FROM g JOIN z USING (root)""")
 def strong_components(spark: SparkSession, sf: str) -> DataFrame:
-    n = _table(spark, sf, "nation")
-    key = F.col("n_nationkey")
-    arcs = n.select(key.alias("s"), ((key * 7 + 3) % 25).alias("t")).union(n.where(key % 4 == 0).select(key, (key * 3) % 25)).distinct()
-    return Graph(n, arcs, node_id="n_nationkey").append_cp(directed=True, connection="strong").v.select("n_nationkey", "cp")
+    """Nodes that reach each other along the direction of the layer edges."""
+    return layers(spark, sf).append_cp(directed=True, connection="strong").v.select("v_n", "cp")
 
 
 @query(f"{_VE} SELECT v.id, count(e.s) AS degree FROM v LEFT JOIN (SELECT s, s AS id FROM e UNION ALL SELECT s, t FROM e) e USING (id) GROUP BY 1")
@@ -514,33 +595,11 @@ def great_circle(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("km"), 3).alias("km"))
 
 
-_PARTS_OF = "SELECT l_suppkey AS s, list_sort(list(DISTINCT l_partkey)) AS parts FROM lineitem GROUP BY 1"
-
-
-@query(f"""WITH p AS ({_PARTS_OF}) SELECT a.s, b.s AS t, CAST(len(list_intersect(a.parts, b.parts)) AS INT) AS intsec_card,
-  CAST(len(list_intersect(a.parts, b.parts)) AS DOUBLE) / least(len(a.parts), len(b.parts)) AS intsec_strength, a.parts = b.parts AS same
-  FROM p a JOIN p b ON a.s < b.s AND a.s // 10 = b.s // 10""")
-def set_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Overlap of the part sets of suppliers of one block of ten."""
-    v = _table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.collect_set("l_partkey").alias("parts")).withColumn("block", F.floor(F.col("id") / 10))
-
-    @connector(outputs=["intsec_card", "same"])
-    def overlap(parts_s, parts_t):
-        _, card, same = cp_node_intersection(parts_s, parts_t)
-        return card, same
-
-    @connector(outputs=["intsec_strength"])
-    def strength(intsec_card, parts_s, parts_t):
-        return cp_intersection_strength(intsec_card, F.size(parts_s), F.size(parts_t))
-
-    return Graph(v).create_edges([overlap, strength], on="block").e
-
-
 @query("""WITH i AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_suppkey IS NOT NULL), n AS (SELECT s, count(p) AS n FROM i GROUP BY s),
   k AS (SELECT a.s, b.s AS t, count(*) AS k FROM i a JOIN i b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2)
   SELECT a.s, b.s AS t, CAST(coalesce(k, 0) AS INT) AS intsec_card, CASE WHEN least(a.n, b.n) > 0 THEN CAST(coalesce(k, 0) AS DOUBLE) / least(a.n, b.n) END AS intsec_strength,
   coalesce(k, 0) = a.n AND a.n = b.n AS same FROM n a JOIN n b ON a.s < b.s LEFT JOIN k ON k.s = a.s AND k.t = b.s""")
-def set_overlap_all(spark: SparkSession, sf: str) -> DataFrame:
+def set_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Overlap of the part sets of every pair of suppliers: those with a common part meet by it, and the others share 0."""
     items = _table(spark, sf, "lineitem").where("l_suppkey is not null").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("part")).distinct()
 
@@ -592,32 +651,24 @@ def _kind(col: str) -> Column:
     return F.lower(F.trim(col))
 
 
-_WIDE = """e AS (SELECT * FROM (PIVOT (SELECT s, t, type, CASE WHEN NOT isnan(weight) THEN weight END AS weight FROM layer_edges WHERE t IS NOT NULL) ON type IN ('kin', 'trade', 'co_sighting') USING max(weight) GROUP BY s, t))"""
+_CELLS = """c AS (SELECT s, t, coalesce(lower(trim(type)), 'unknown') AS relation, max(CASE WHEN NOT isnan(weight) THEN weight END) AS value FROM layer_edges WHERE t IS NOT NULL AND s IS NOT NULL GROUP BY 1, 2, 3)"""
+_WIDE = f"{_CELLS}, e AS (SELECT s, t, max(value) FILTER (relation = 'kin') AS kin, max(value) FILTER (relation = 'trade') AS trade FROM c GROUP BY s, t)"
 
 
 def wide_edges(spark: SparkSession, sf: str) -> Graph:
-    """Layer edges with a column per type: the largest known weight."""
+    """Layer edges with a column for every type that occurs, its variants as one ('unknown' for none): the largest known weight."""
     w = F.col("weight")
-    e = _table(spark, sf, "layer_edges").where("t is not null").withColumn("weight", F.when(~F.isnan(w), w))
-    e = e.groupBy("s", "t").pivot("type", ["kin", "trade", "co_sighting"]).agg(F.max("weight"))
+    e = _table(spark, sf, "layer_edges").where("s is not null and t is not null").select("s", "t", F.coalesce(_kind("type"), F.lit("unknown")).alias("type"), F.when(~F.isnan(w), w).alias("weight"))
+    e = e.groupBy("s", "t").pivot("type").agg(F.max("weight"))
     return Graph(_table(spark, sf, "layer_nodes").select("v_n").distinct(), e, node_id="v_n")
 
 
-@query(f"WITH {_WIDE} SELECT s, t, relation, value FROM (UNPIVOT e ON kin, trade, co_sighting INTO NAME relation VALUE value)")
+@query(f"WITH {_CELLS} SELECT s, t, relation, value FROM c WHERE value IS NOT NULL")
 def multigraph_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """An edge for every known cell of every type."""
     return wide_edges(spark, sf).return_nx_multigraph(relations=True)[1]
 
 
-@query("""SELECT s, t, coalesce(lower(trim(type)), 'unknown') AS relation, max(CASE WHEN NOT isnan(weight) THEN weight END) AS value FROM layer_edges WHERE t IS NOT NULL
-  GROUP BY 1, 2, 3 HAVING max(CASE WHEN NOT isnan(weight) THEN weight END) IS NOT NULL""")
-def multigraph_cells_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells of every type that occurs, its variants as one; edges of no type are of type 'unknown'."""
-    w = F.col("weight")
-    e = _table(spark, sf, "layer_edges").where("t is not null").select("s", "t", F.coalesce(_kind("type"), F.lit("unknown")).alias("type"), F.when(~F.isnan(w), w).alias("weight"))
-    e = e.groupBy("s", "t").pivot("type").agg(F.max("weight"))
-    return Graph(_table(spark, sf, "layer_nodes").select("v_n").distinct(), e, node_id="v_n").return_nx_multigraph(relations=True)[1]
-
-
 @query(f"WITH {_WIDE} SELECT s, t, kin, trade FROM e WHERE kin IS NOT NULL AND trade IS NOT NULL")
 def row_edges_dropna(spark: SparkSession, sf: str) -> DataFrame:
     return wide_edges(spark, sf).return_nx_graph(relations=["kin", "trade"], dropna="any")[1]
@@ -630,7 +681,19 @@ def row_edges_all(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_POS} SELECT a.pos AS i, b.pos AS j, e.s, e.t, value, returned FROM e JOIN p a ON a.id = s JOIN p b ON b.id = t")
 def property_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return trade(spark, sf).return_gt_graph(relations=["value", "returned"])[1]
+    return trade(spark, sf).return_gt_graph(relations=["value", "returned"], edge_indices=True)[1]
+
+
+@query(f"{_POS} SELECT pos AS i, v.id, kind, balance FROM v JOIN p USING (id)")
+def property_vertices(spark: SparkSession, sf: str) -> DataFrame:
+    return trade(spark, sf).return_gt_graph(features=["kind", "balance"], node_indices=True)[0]
+
+
+@query("""SELECT unnest(['i', 'id', 'kind', 'balance', 'j', 's', 't', 'value', 'returned']) AS "column", unnest(['int64_t', 'int64_t', 'string', 'double', 'int64_t', 'int64_t', 'int64_t', 'double', 'bool']) AS type""")
+def property_types(spark: SparkSession, sf: str) -> DataFrame:
+    """The property type of each column of the vertex and the edge table."""
+    kinds = trade(spark, sf).return_gt_graph(features=["kind", "balance"], relations=["value", "returned"], node_indices=True, edge_indices=True)[2]
+    return spark.createDataFrame(list(kinds.items()), "column string, type string")
 
 
 @query(f"WITH {_V} SELECT unnest(['kind', 'nation', 'balance', 'segment']) AS \"column\", unnest([count(kind), count(nation), count(balance), count(segment)]) AS n FROM v")
@@ -664,6 +727,26 @@ def frame_arrows(spark: SparkSession, sf: str) -> DataFrame:
     return plotdata.frames(g.v, g.e, "id", "s", "t", "nation", "balance", "nation")[1].withColumn("dx", F.round("dx", 2))
 
 
+@query(f"""{_VE} SELECT s, t, a.nation AS xs, a.balance AS ys, a.id AS zs, b.nation - a.nation AS dx, round(b.balance - a.balance, 2) AS dy, b.id - a.id AS dz FROM e JOIN v a ON a.id = s JOIN v b ON b.id = t""")
+def arrows_3d(spark: SparkSession, sf: str) -> DataFrame:
+    g = trade(spark, sf)
+    g = g._with(v=g.v.withColumn("height", F.col("id")))
+    return g.plot_3d("nation", "balance", "height", edges=True)["arrows"].withColumn("dy", F.round("dy", 2))
+
+
+@query(f"""{_VE} SELECT 'nation' AS axis, min(nation) - (max(nation) - min(nation)) * 0.05::DOUBLE AS low, max(nation) + (max(nation) - min(nation)) * 0.05::DOUBLE AS high FROM v
+  UNION ALL SELECT 'color', min(value), max(value) FROM e""")
+def frame_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """What all pictures of a series share: the range of the axis and that of the color."""
+    return trade(spark, sf).plot_limits("nation", C="value")
+
+
+@query("SELECT g_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(area AS DOUBLE) - x AS width, CAST(area AS DOUBLE) - y AS height FROM grid_cells")
+def rects_numeric(spark: SparkSession, sf: str) -> DataFrame:
+    cells = _table(spark, sf, "grid_cells").select("g_id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "area")])
+    return Graph(cells, node_id="g_id").plot_rects_numeric_numeric("x", "area", "y", "area")
+
+
 @query("SELECT dense_rank() OVER (ORDER BY event_type) - 1 AS row, event_type AS label, ts AS time FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL")
 def raster_frame(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).plot_raster("event_type", "ts")
@@ -675,6 +758,85 @@ def rects_frame(spark: SparkSession, sf: str) -> DataFrame:
     return Graph(cells, node_id="g_id").plot_rects_label_numeric("y", "x", "area").select("g_id", "x", F.col("y"), "width", "height")
 
 
+# --- stored tables and files ---
+
+
+def _store(spark: SparkSession, **tables: DataFrame) -> TableStore:
+    """A store in the shared folder with the given tables."""
+    store = TableStore(spark, scratch_path(spark, "store"))
+    for name, df in tables.items():
+        store.write(name, df)
+    return store
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_acctbal > 5000")
+def store_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns and a filter of a stored table, the only one and so without a name."""
+    return _store(spark, nodes=_table(spark, sf, "customer")).read(columns=["c_custkey", "c_mktsegment"], where="c_acctbal > 5000")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 1000 AND 30000")
+def store_range(spark: SparkSession, sf: str) -> DataFrame:
+    """A range of a table that was sorted as it was stored: few row groups are read."""
+    store = _store(spark)
+    store.write_sorted("orders", _table(spark, sf, "orders"), ["o_orderkey"], 8)
+    return store.read_range("o_orderkey", 1000, 30000, "orders", ["o_orderkey", "o_custkey"])
+
+
+@query("SELECT 'edges' AS key, count(*) AS n FROM lineitem UNION ALL SELECT 'nodes', 2 * count(*) FROM customer")
+def store_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables by their keys, one of them appended to."""
+    store = _store(spark, nodes=_table(spark, sf, "customer"), edges=_table(spark, sf, "lineitem"))
+    store.append("nodes", _table(spark, sf, "customer"))
+    counts = [store.read(key).agg(F.lit(key).alias("key"), F.count(F.lit(1)).alias("n")) for key in store.keys()]
+    return counts[0].unionByName(counts[1])
+
+
+@query("SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier WHERE s_nationkey < 10")
+def csv_read(spark: SparkSession, sf: str) -> DataFrame:
+    """A text table by its schema, with columns and a filter."""
+    path = scratch_path(spark, "supplier") + ".csv"
+    _table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal").write.csv(path, header=True)
+    return read_table(spark, path, ["s_suppkey", "s_nationkey", "s_acctbal"], "s_nationkey < 10", schema="s_suppkey bigint, s_nationkey int, s_acctbal double")
+
+
+_NATIONS = """SELECT c_nationkey + 1 AS s, s_nationkey + 1 AS t, CAST(count(*) AS DOUBLE) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2"""
+
+
+def _nation_trade(spark: SparkSession, sf: str) -> DataFrame:
+    """(s, t, weight): items sold between nations, numbered from 1 as in Pajek files."""
+    g = trade(spark, sf)
+    e = g.partition_edges(None, "nation", "nation", {"n_items": "sum"})
+    return e.select((F.col("nation_s") + 1).cast("bigint").alias("s"), (F.col("nation_t") + 1).cast("bigint").alias("t"), F.col("n_items").alias("weight"))
+
+
+def _text(lines: DataFrame) -> str:
+    """Lines (k, line) written as one file in order of k."""
+    path = scratch_path(lines.sparkSession, "pajek")
+    lines.repartition(1).sortWithinPartitions("k").select("line").write.text(path)
+    return path
+
+
+@query(_NATIONS)
+def pajek_arcs(spark: SparkSession, sf: str) -> DataFrame:
+    """A network written as arcs, read back."""
+    body = _nation_trade(spark, sf).select((F.col("s") * 100 + F.col("t")).alias("k"), F.concat_ws(" ", "s", "t", "weight").alias("line"))
+    head = spark.createDataFrame([(-3, "*Vertices 25"), (-2, "% items"), (-1, "*Arcs")], "k bigint, line string")
+    return read_pajek(spark, _text(head.unionByName(body)))[1].select("s", "t", "weight")
+
+
+@query(_NATIONS)
+def pajek_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """The same network written as a matrix, with blank lines and comments between its rows, read back."""
+    rows = spark.range(1, 26).withColumnRenamed("id", "s").join(_nation_trade(spark, sf), "s", "left").groupBy("s").agg(F.collect_list(F.struct("t", "weight")).alias("r"))  # at most 25 cells
+    at = lambda t: F.coalesce(F.get(F.filter("r", lambda x: x["t"] == t), F.lit(0))["weight"], F.lit(0))
+    body = rows.select((F.col("s") * 3).alias("k"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(25)), lambda t: at(t).cast("string")), " ").alias("line"))
+    notes = spark.range(1, 26).select((F.col("id") * 3 + 1).alias("k"), F.when(F.col("id") % 2 == 0, "").otherwise("% a note").alias("line"))
+    head = spark.createDataFrame([(-2, "*Vertices 25"), (-1, "*Matrix")], "k bigint, line string")
+    return read_pajek(spark, _text(head.unionByName(body).unionByName(notes)))[1].select("s", "t", "weight")
+
+
 # --- recipes that combine them ---
 
 
@@ -683,35 +845,19 @@ def value_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "layer_edges").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH d AS (SELECT s, t, weight FROM layer_edges WHERE weight >= 0 AND NOT isnan(weight) AND t IS NOT NULL), a AS (SELECT s, t, sum(weight) AS w FROM d GROUP BY 1, 2)
+@query("""WITH d AS (SELECT s, t, weight FROM layer_edges WHERE weight >= 0 AND NOT isnan(weight) AND t IS NOT NULL AND s IS NOT NULL), a AS (SELECT s, t, sum(weight) AS w FROM d GROUP BY 1, 2)
   SELECT coalesce(x.s, y.t) AS s, coalesce(x.t, y.s) AS t, round(coalesce(x.w, 0) + coalesce(y.w, 0), 6) AS weight FROM a x FULL JOIN a y ON x.s = y.t AND x.t = y.s""")
 def undirected_weights(spark: SparkSession, sf: str) -> DataFrame:
-    """Weights of both orientations added, a missing one counting 0: reversal, full outer join and fill."""
-    d = _table(spark, sf, "layer_edges").where("weight >= 0 and not isnan(weight) and t is not null").groupBy("s", "t").agg(F.sum("weight").alias("w"))
-    back = d.select(F.col("t").alias("s"), F.col("s").alias("t"), F.col("w").alias("u"))
-    return d.join(back, ["s", "t"], "full_outer").select("s", "t", F.round(F.coalesce("w", F.lit(0)) + F.coalesce("u", F.lit(0)), 6).alias("weight"))
-
+    """Weights of both directions added, a missing one counting 0."""
+    e = _table(spark, sf, "layer_edges").where("weight >= 0 and not isnan(weight)").select("s", "t", "weight")
+    return Graph(_table(spark, sf, "layer_nodes"), e, node_id="v_n").undirected("weight").e.withColumn("weight", F.round("weight", 6))
 
-@query("""WITH c AS (SELECT s, t, count(*) FILTER (type = 'kin') AS kin, count(*) FILTER (type = 'trade') AS trade, count(*) FILTER (type = 'signal') AS signal FROM layer_edges WHERE t IS NOT NULL GROUP BY 1, 2)
-  SELECT s, t, CASE greatest(kin, trade, signal) WHEN 0 THEN NULL WHEN kin THEN 'kin' WHEN trade THEN 'trade' ELSE 'signal' END AS dominant FROM c""")
-def dominant_type(spark: SparkSession, sf: str) -> DataFrame:
-    """The most frequent type of each pair, the first listed of equals: pivot and argmax."""
-    kinds = ["kin", "trade", "signal"]
-    wide = _table(spark, sf, "layer_edges").where("t is not null").groupBy("s", "t").pivot("type", kinds).agg(F.count(F.lit(1))).na.fill(0)
-    best = F.greatest(*kinds)
-    pick = F.when(best == 0, None)
-    for k in kinds:
-        pick = pick.when(F.col(k) == best, k)
-    return wide.select("s", "t", pick.alias("dominant"))
 
-
-@query("""WITH c AS (SELECT s, t, lower(trim(type)) AS type, count(*) AS n FROM layer_edges WHERE t IS NOT NULL GROUP BY 1, 2, 3)
+@query("""WITH c AS (SELECT s, t, lower(trim(type)) AS type, count(*) AS n FROM layer_edges WHERE t IS NOT NULL AND s IS NOT NULL GROUP BY 1, 2, 3)
   SELECT s, t, first(type ORDER BY n DESC, type) FILTER (type IS NOT NULL) AS dominant FROM c GROUP BY 1, 2""")
-def dominant_type_all(spark: SparkSession, sf: str) -> DataFrame:
+def dominant_type(spark: SparkSession, sf: str) -> DataFrame:
     """The most frequent of all types of each pair, variants as one, the first by name of equals; NULL where no type is known."""
-    e = _table(spark, sf, "layer_edges").where("t is not null").groupBy("s", "t", _kind("type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.when(F.col("type").isNotNull(), F.struct(-F.col("n"), "type"))
-    return e.groupBy("s", "t").agg(F.min_by("type", rank).alias("dominant"))
+    return Graph(_table(spark, sf, "layer_nodes"), _table(spark, sf, "layer_edges"), node_id="v_n").dominant(_kind("type")).e
 
 
 @query("""SELECT cp, CAST(sum(area) AS BIGINT) AS area FROM (SELECT DISTINCT cp, g_id FROM (SELECT cp, unnest(supernode_ids) AS g_id FROM clusters) WHERE g_id IS NOT NULL) JOIN (SELECT g_id, area FROM grid_cells) USING (g_id) GROUP BY cp""")

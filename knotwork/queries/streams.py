@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..streaming import stream_band_edges, stream_once, stream_partition
+from ..streaming.sessions import stream_clusters
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -43,9 +44,18 @@ def stream_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
     return _finished(once.select("edge_id", "layer")).groupBy("layer").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-QUERIES = {"stream_windows": stream_windows, "stream_band": stream_band, "stream_deduplicated": stream_deduplicated}
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of events of a user with gaps of at most an hour, as far as they have closed by the end of the stream."""
+    return _finished(stream_clusters(_stream(spark, sf, "events").select("user_id", "ts"), "user_id", "ts", 3600, "1 hour"))
+
+
+QUERIES = {"stream_sessions": stream_sessions, "stream_windows": stream_windows, "stream_band": stream_band, "stream_deduplicated": stream_deduplicated}
 
 SQL = {
+    "stream_sessions": """WITH x AS (SELECT user_id, ts, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 3600000000, true) AS opens FROM events WHERE user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+      y AS (SELECT user_id, ts, sum(CAST(opens AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM x)
+      SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n_nodes FROM y GROUP BY user_id, k
+      HAVING epoch_us(max(ts)) + 3600000000 < (SELECT epoch_ms(max(ts)) * 1000 - 3600000000 FROM events)""",
     "stream_windows": """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n_nodes, round(sum(value), 2) AS value FROM events WHERE event_type IS NOT NULL
       AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""",
     "stream_band": """SELECT a.event_id AS s, b.event_id AS t, (epoch_us(b.ts) - epoch_us(a.ts)) / 1e6 AS ft_r FROM events a JOIN events b

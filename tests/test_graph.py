@@ -222,6 +222,20 @@ def test_components_at_random(spark, seed):
     assert {r["node"]: r["root"] for r in strong_components(e, "s", "t").collect()} == {x: r for x, r in strong.items() if size[r] > 1}
 
 
+def test_labels_jump_along_long_paths(spark, monkeypatch):
+    """Around a cycle of 2,000 nodes with numbers in random order: far fewer rounds than steps."""
+    from knotwork.operators import components
+
+    rounds = []
+    inner = components._spread
+    monkeypatch.setattr(components, "_spread", lambda *a: rounds.append(1) or inner(*a))
+    n = 2000
+    number = random.Random(1).sample(range(n), n)
+    arcs = spark.createDataFrame([(number[k], number[(k + 1) % n]) for k in range(n)], "u bigint, v bigint")
+    labels = components._fixpoint(arcs, spark.range(n).selectExpr("id as node", "id as label"))
+    assert labels.where("label <> 0").isEmpty() and labels.count() == n and len(rounds) < 60
+
+
 @pytest.fixture(scope="module")
 def holes(spark):
     # fixed values: which cells are unknown (column, row)

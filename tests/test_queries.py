@@ -12,7 +12,7 @@ import __spark_entry__ as contract
 FOLDER = os.environ.get("KNOTWORK_TABLES", "/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
-SQL = contract.oracle_sql()
+SQL = {name: sql for module in contract.MODULES if "llm" not in module.__name__ for name, sql in module.SQL.items()}
 
 
 @pytest.fixture(scope="module")
