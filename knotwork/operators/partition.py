@@ -66,8 +66,8 @@ def quantile_share(name: object) -> float | None:
     return None
 
 
-def group_quantiles(df: DataFrame, keys: Sequence[str], column: str, shares: Mapping[str, float]) -> DataFrame:
-    """(keys, a column per quantile), by linear interpolation, of the known values of each group of known keys.
+def group_quantiles(df: DataFrame, keys: Sequence[str], column: str, shares: Mapping[str, float], interpolate: bool = True) -> DataFrame:
+    """(keys, a column per quantile) of the known values of each group of known keys: by linear interpolation, or the value below.
 
     The values are sorted by a distributed sort; a group starts at its lowest position, and its quantiles lie at most one place around
     the wanted one. No task holds a group, however large. Groups without a known value have no row.
@@ -83,7 +83,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], column: str, shares: Map
     placed = with_position(some, [*names, "__x"], "__place")
     groups = placed.groupBy(*names).agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("__n"))
     off = lambda q: F.lit(float(q)) * (F.col("__n") - 1)
-    wanted = groups.select(*names, F.explode(F.array(*[F.struct(F.lit(i).alias("q"), (off(q) - F.floor(off(q))).alias("rest"), (F.col("__first") + F.floor(off(q))).alias("lo"), (F.col("__first") + F.ceil(off(q))).alias("hi")) for i, q in enumerate(shares.values())])).alias("w")).select(*names, "w.*")
+    wanted = groups.select(*names, F.explode(F.array(*[F.struct(F.lit(i).alias("q"), (off(q) - F.floor(off(q))).alias("rest"), (F.col("__first") + F.floor(off(q))).alias("lo"), (F.col("__first") + (F.ceil if interpolate else F.floor)(off(q))).alias("hi")) for i, q in enumerate(shares.values())])).alias("w")).select(*names, "w.*")
     sides = wanted.select(*names, "q", "rest", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lo").alias("__place")), F.struct(F.lit(1).alias("side"), F.col("hi").alias("__place")))).alias("p")).select(*names, "q", "rest", "p.*")
     values = sides.join(placed.select("__place", "__x"), "__place")
     both = values.groupBy(*names, "q").agg(F.max("rest").alias("rest"), F.max(F.when(F.col("side") == 0, F.col("__x"))).alias("lo"), F.max(F.when(F.col("side") == 1, F.col("__x"))).alias("hi"))

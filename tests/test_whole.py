@@ -30,7 +30,7 @@ EDGES = "s bigint, t bigint, type string, weight double"
 
 def test_dominant_type_counts_every_type(spark, made, rows):
     pairs = {(1, 2): ["co_sighting", "co_sighting", "kin"], (1, 3): ["Signal", " signal", "trade"], (2, 3): ["other"], (2, 4): [None, None, "kin"], (3, 4): [None], (4, 5): ["trade", "kin"]}
-    folder = made(layer_edges=([(s, t, k, 1.0) for (s, t), kinds in pairs.items() for k in kinds] + [(1, None, "kin", 1.0)], EDGES))
+    folder = made(layer_edges=([(s, t, k, 1.0) for (s, t), kinds in pairs.items() for k in kinds] + [(1, None, "kin", 1.0)], EDGES), layer_nodes=([(k,) for k in range(1, 6)], "v_n bigint"))
     want = [(1, 2, "co_sighting"), (1, 3, "signal"), (2, 3, "other"), (2, 4, "kin"), (3, 4, None), (4, 5, "kin")]
     assert rows(contract.queries()["dominant_type"](spark, folder), "s", "t", "dominant") == sorted(want, key=repr)
 
