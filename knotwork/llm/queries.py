@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.partition import group_quantiles
 from ..operators.skew import skew_join
 from ..session import materialize
 from .chosenpath import SimilarSets, similar_sets
@@ -67,6 +68,16 @@ def p3_cluster_day(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("day", "n_values", F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"))
 
 
+def p3_error(spark: SparkSession, sf: str) -> DataFrame:
+    """Per layer and day: the exact median and 90th percentile, by a distributed sort, and whether those of the sketch are within 1 % of them."""
+    counts = edge_sketch(spark, sf)
+    near = percentiles(counts, ["layer", "day"], HALF_AND_NINTH, ACCURACY).where("layer is not null and day is not null")
+    edges = _table(spark, sf, "flow_edges").where("ft_r >= 0 and not isnan(ft_r)").select("edge_id", "layer", F.to_date("dtime_s").alias("day"), "ft_r").distinct()
+    exact = group_quantiles(edges, ["layer", "day"], "ft_r", {"exact50": 0.5, "exact90": 0.9}, interpolate=False)
+    off = lambda k: F.abs(F.col(f"p{k}") - F.col(f"exact{k}")) <= F.col(f"exact{k}") * (ACCURACY + 1e-9)
+    return near.join(exact, ["layer", "day"]).select("layer", "day", "n_values", *[F.round(f"exact{k}", 6).alias(f"exact{k}") for k in (50, 90)], off(50).alias("near50"), off(90).alias("near90"))
+
+
 # --- p4: groups from matches ---
 
 
@@ -224,6 +235,7 @@ QUERIES = {
     "p3_layer_day": p3_layer_day,
     "p3_layer_merged": p3_layer_merged,
     "p3_cluster_day": p3_cluster_day,
+    "p3_error": p3_error,
     "p4_found": p4_found,
     "p4_group_sizes": p4_group_sizes,
     "p5_found": p5_found,
@@ -295,6 +307,8 @@ SQL = {
     "p3_layer_day": _bucketed(_FT, "layer, day", "ft_r"),
     "p3_layer_merged": _bucketed(_FT, "layer", "ft_r"),
     "p3_cluster_day": _bucketed(_SIZES, "day", "n_cells"),
+    "p3_error": f"""WITH x AS (SELECT layer, day, count(*) AS n, list(ft_r ORDER BY ft_r) AS xs FROM ({_FT}) WHERE layer IS NOT NULL AND day IS NOT NULL GROUP BY 1, 2)
+      SELECT layer, day, n AS n_values, round(xs[1 + (n - 1) // 2], 6) AS exact50, round(xs[1 + 9 * (n - 1) // 10], 6) AS exact90, true AS near50, true AS near90 FROM x""",
     "p4_found": f"{_GROUPS} SELECT node_id, group_id FROM g",
     "p4_group_sizes": f"{_GROUPS} SELECT n_nodes, count(*) AS n_groups FROM (SELECT count(*) AS n_nodes FROM g GROUP BY group_id) GROUP BY n_nodes",
     "p5_found": f"WITH {_SETS} SELECT cp_a, cp_b FROM p",
