@@ -11,7 +11,7 @@ from ..operators.skew import skew_join
 from ..session import materialize
 from .chosenpath import SimilarSets, similar_sets
 from .contraction import connected_groups
-from .mixing import Mix, mix_sources
+from .mixing import Mix, mix_sources, source_name
 from .packing import containers, pack
 from .sketch import combine, percentiles, sketch
 from .textforms import look_alike_classes, look_alike_pairs, normalized
@@ -193,16 +193,18 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Per source: whether what it gives is within one record of what is wanted, or all it has; passes within the cap and filled one after the other; no
+    """Per source: whether what it gives is within one of its records of what is wanted, or all it has; passes within the cap and filled one after the other; no
     record twice in a pass; times from 0 to 1 whose order is that of the passes."""
-    mix = _mix(spark, sf)
+    docs = materialize(_sized(spark, sf, "source"), "docs")
+    mix = mix_sources(docs, "doc_id", "source", "n_tokens", _table(spark, sf, "mix_targets"), SCHEDULES)
     order = materialize(mix.order, "order")
-    per_pass = order.groupBy("source", "pass").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"), F.min("time").alias("lo"), F.max("time").alias("hi"), F.max("size").alias("longest"))
+    longest = docs.groupBy(source_name("source").alias("source")).agg(F.max("n_tokens").alias("longest"))
+    per_pass = order.groupBy("source", "pass").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"), F.min("time").alias("lo"), F.max("time").alias("hi"))
     after = W.partitionBy("source").orderBy("pass")  # at most max_repeats rows
     per_pass = per_pass.withColumn("before", F.lag("hi").over(after)).withColumn("full", F.lag("n").over(after))
     sound = (F.col("docs") == F.col("n")) & (F.coalesce(F.col("before") <= F.col("lo"), F.lit(True))) & (F.coalesce(F.col("full") >= F.col("n"), F.lit(True))) & (F.col("lo") >= 0) & (F.col("hi") <= 1)
-    seen = per_pass.groupBy("source").agg(F.bool_and(sound).alias("sound"), F.max("pass").alias("last"), F.max("longest").alias("longest"))
-    r = mix.report.join(seen, "source", "left").na.fill({"sound": True, "last": -1, "longest": 0})
+    seen = per_pass.groupBy("source").agg(F.bool_and(sound).alias("sound"), F.max("pass").alias("last"))
+    r = mix.report.join(seen, "source", "left").join(longest, "source", "left").na.fill({"sound": True, "last": -1, "longest": 0})
     given = F.abs(F.col("given") - F.col("wanted")) <= F.col("longest")
     everything = F.col("given") == F.col("own_size") * F.col("max_repeats")
     return r.select("source", (given | everything).alias("as_wanted"), (F.col("last") < F.col("max_repeats")).alias("within_cap"), "sound")
