@@ -10,7 +10,7 @@ from pyspark.sql.group import GroupedData
 
 from .functions.numeric import nan_to_null, value_in
 from .functions.vectors import ordinal_ranks, whiten
-from .operators import components, export, labels, plotdata, recipes
+from .operators import components, export, labels, linkage, plotdata, recipes
 from .operators.band import band_edges, band_spec
 from .operators.matrix import dot_pairs
 from .operators.pairs import all_pair_edges
@@ -345,6 +345,16 @@ class Graph:
         """The graph with one edge per pair and its most frequent kind, see :func:`recipes.dominant`."""
         return self._with(e=recipes.dominant(self.e, self.source, self.target, F.col(kind) if isinstance(kind, str) else kind, name))
 
+    def append_linkage(self, relation: str, col_name: str = "cluster", at_most: int | None = None, similarity: float | None = None, merges: DataFrame | None = None) -> Graph:
+        """Label every node with its cluster by average linkage over a similarity of the edges, 0 the largest: cut into ``at_most`` clusters, or at a ``similarity``.
+
+        ``merges``: the table of :func:`linkage.average_linkage` if it is there already, to cut it more than once.
+        """
+        merges = linkage.average_linkage(self.e, self.source, self.target, relation) if merges is None else merges
+        roots = linkage.cut(merges, at_most, similarity)
+        at = self.positioned() if self.order_by else self.v.withColumn(POS, F.col(self.node_id))
+        return self._with(v=components.label_components(at, roots, self.node_id, col_name).drop(POS))
+
     def degrees(self) -> DataFrame:
         return components.degrees(self.v, self.e, self.node_id, self.source, self.target)
 

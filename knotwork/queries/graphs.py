@@ -12,6 +12,7 @@ from ..functions.sets import cp_intersection_strength, cp_node_intersection, hyp
 from ..functions.vectors import dot, whiten
 from ..graph import Graph
 from ..operators import plotdata
+from ..operators.linkage import average_linkage
 from ..operators.pairs import keyed_pairs
 from ..plans.metrics import read_log
 from ..plans.pairfunctions import connector, selector
@@ -615,6 +616,21 @@ def set_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.join(met, ["s", "t"], "left").select("s", "t", card.alias("intsec_card"), strength.alias("intsec_strength"), same.alias("same"))
 
 
+@query()
+def linkage_merges(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations merged by average linkage over the items they trade: the merges."""
+    e = _nation_trade(spark, sf)
+    return average_linkage(e, "s", "t", "weight")
+
+
+@query()
+def linkage_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers in ten clusters by average linkage over the overlap of their parts, the largest first."""
+    v = suppliers(spark, sf).v.select("s_suppkey")
+    g = Graph(v, set_overlap(spark, sf).select("s", "t", "intsec_strength"), node_id="s_suppkey")
+    return g.append_linkage("intsec_strength", at_most=10).v
+
+
 @query("""WITH c AS (SELECT cp, list_sort(list_distinct(any_value(supernode_ids))) AS cells FROM clusters WHERE supernode_ids IS NOT NULL GROUP BY cp),
   e AS (SELECT DISTINCT least(s, t) AS s, greatest(s, t) AS t FROM superedges WHERE s <> t),
   x AS (SELECT s, t, CAST(len(list_intersect(a.cells, b.cells)) AS INT) AS k, greatest(len(a.cells), len(b.cells)) AS big, least(len(a.cells), len(b.cells)) AS small FROM e JOIN c a ON a.cp = s JOIN c b ON b.cp = t),

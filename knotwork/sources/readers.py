@@ -99,14 +99,103 @@ def read_npy(spark: SparkSession, path: str, rows_per_task: int = 10_000, column
     return spark.range(0, tasks, 1, max(1, tasks)).mapInPandas(slices, schema)
 
 
-def read_netcdf(spark: SparkSession, path: str, variables: Sequence[str]) -> DataFrame:
-    """Variables over common dimensions as columns, one row per grid point; needs the netCDF4 package."""
+#: Number types of classic netCDF files by their code.
+_CLASSIC_TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
+
+
+def classic_variables(path: str) -> dict[str, tuple[tuple[str, ...], np.ndarray]]:
+    """Name -> (dimensions, values) of a netCDF file in classic form (or with 64-bit offsets); the values stay in the file, mapped."""
+    with open(path, "rb") as file:
+        magic = file.read(4)
+        if magic[:3] != b"CDF" or magic[3] not in (1, 2):
+            raise ValueError("no netCDF file in classic form")
+        wide = magic[3] == 2
+
+        def number(size: int = 4) -> int:
+            return int.from_bytes(file.read(size), "big", signed=True)
+
+        def name() -> str:
+            n = number()
+            text = file.read(n).decode()
+            file.read(-n % 4)
+            return text
+
+        def skip_attributes() -> None:
+            _, n = number(), number()
+            for _ in range(n):
+                name()
+                kind, values = number(), number()
+                size = np.dtype(_CLASSIC_TYPES[kind]).itemsize * values
+                file.read(size + -size % 4)
+
+        records = number()
+        _, n = number(), number()
+        dims = [(name(), number()) for _ in range(n)]
+        skip_attributes()
+        _, n = number(), number()
+        heads = []
+        for _ in range(n):
+            label = name()
+            at = [number() for _ in range(number())]
+            skip_attributes()
+            heads.append((label, at, number(), number(), number(8 if wide else 4)))
+    moving = lambda at: bool(at) and dims[at[0]][1] == 0
+    sizes = [size for _, at, _, size, _ in heads if moving(at)]
+    stride = sum(sizes)
+    out = {}
+    for label, at, kind, _, begin in heads:
+        dtype = np.dtype(_CLASSIC_TYPES[kind])
+        shape = tuple(records if dims[d][1] == 0 else dims[d][1] for d in at)
+        if not moving(at):
+            values = np.memmap(path, dtype, "r", begin, shape) if all(shape) else np.empty(shape, dtype)
+        elif not records:
+            values = np.empty(shape, dtype)
+        else:  # one record of every moving variable after the other; a single one isn't padded
+            step = stride if len(sizes) > 1 else int(np.prod(shape[1:], dtype=int)) * dtype.itemsize
+            raw = np.memmap(path, np.uint8, "r", begin)
+            strides = (step, *(int(np.prod(shape[k + 1 :], dtype=int)) * dtype.itemsize for k in range(1, len(shape))))
+            values = np.ndarray(shape, dtype, raw, 0, strides)
+        out[label] = (tuple(dims[d][0] for d in at), values)
+    return out
+
+
+def _netcdf(path: str) -> dict[str, tuple[tuple[str, ...], object]]:
+    with open(path, "rb") as file:
+        classic = file.read(3) == b"CDF"
+    if classic:
+        return classic_variables(path)
     try:
         import netCDF4
     except ImportError as error:
-        raise ImportError("read_netcdf needs the netCDF4 package") from error
-    with netCDF4.Dataset(path) as data:
-        dims = data.variables[variables[0]].dimensions
-        axes = np.meshgrid(*[data.variables[d][:] for d in dims], indexing="ij")
-        frame = pd.DataFrame({d: a.ravel() for d, a in zip(dims, axes)} | {v: np.ma.filled(data.variables[v][:].astype(float), np.nan).ravel() for v in variables})
-    return spark.createDataFrame(frame)
+        raise ImportError("netCDF files that aren't in classic form need the netCDF4 package") from error
+    return {k: (v.dimensions, v) for k, v in netCDF4.Dataset(path).variables.items()}
+
+
+def read_netcdf(spark: SparkSession, path: str, variables: Sequence[str], rows_per_task: int = 100_000) -> DataFrame:
+    """Variables over the same dimensions as columns, one row per grid point, with the coordinates of each dimension (its index, if it has none).
+
+    Tasks read their own slabs of the first dimension; the driver reads the header only. All columns are doubles, masked values NULL.
+    The path must be readable by all executors.
+    """
+    found = _netcdf(path)
+    if missing := [v for v in variables if v not in found]:
+        raise KeyError(f"no such variables: {missing}")
+    dims = found[variables[0]][0]
+    if not dims or any(found[v][0] != dims for v in variables):
+        raise ValueError("the variables must have the same dimensions, one at least")
+    shape = tuple(found[variables[0]][1].shape)
+    step = max(1, rows_per_task // max(1, int(np.prod(shape[1:], dtype=int))))
+    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in [*dims, *variables]])
+
+    def slabs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        data = _netcdf(path)
+        axis = [np.array(data[d][1][:]).astype(float) if d in data else np.arange(n, dtype=float) for d, n in zip(dims, shape)]
+        for frame in frames:
+            for k in frame["id"]:
+                part = slice(k * step, min((k + 1) * step, shape[0]))
+                grid = np.meshgrid(axis[0][part], *axis[1:], indexing="ij")
+                plain = lambda v: np.ma.filled(np.ma.asarray(data[v][1][part]).astype(float), np.nan).ravel()  # noqa: B023, E731
+                yield pd.DataFrame({d: a.ravel() for d, a in zip(dims, grid)} | {v: plain(v) for v in variables})
+
+    tasks = -(-shape[0] // step)
+    return spark.range(0, tasks, 1, max(1, tasks)).mapInPandas(slabs, schema)

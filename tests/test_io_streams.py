@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from knotwork import Graph
 from knotwork.plans.metrics import RunLog, read_log
-from knotwork.sources import TableStore, read_npy, read_pajek, read_table
+from knotwork.sources import TableStore, read_netcdf, read_npy, read_pajek, read_table
 from knotwork.streaming import stream_band_edges, stream_once, stream_partition
 from knotwork.streaming.sessions import stream_clusters
 
@@ -56,6 +56,58 @@ def test_npy(spark, tmp_path):
     assert [r["x"] for r in read_npy(spark, str(tmp_path / "b.npy")).orderBy("pos").collect()] == [0, 1, 2, 3, 4]
 
 
+def classic(dims, variables, records, wide=False):
+    """The bytes of a netCDF file in classic form: dims (name, size; 0 for records), variables (name, dims, code, format, values)."""
+    number = lambda x: int(x).to_bytes(4, "big", signed=True)
+    name = lambda t: number(len(t)) + t.encode() + bytes(-len(t) % 4)
+    attribute = number(12) + number(1) + name("units") + number(2) + number(3) + b"mm " + bytes(1)
+
+    def head(begins):
+        out = b"CDF" + bytes([2 if wide else 1]) + number(records) + number(10) + number(len(dims)) + b"".join(name(n) + number(k) for n, k in dims) + attribute + number(11) + number(len(variables))
+        for (label, at, code, form, values), begin in zip(variables, begins):
+            size = values.astype(form).nbytes // (records if dims[at[0]][1] == 0 else 1)
+            out += name(label) + number(len(at)) + b"".join(map(number, at)) + number(0) + number(0) + number(code) + number(size + -size % 4) + begin.to_bytes(8 if wide else 4, "big")
+        return out
+
+    at = len(head([0] * len(variables)))
+    begins, fixed = {}, b""
+    for label, dim, _, form, values in variables:
+        if dims[dim[0]][1]:
+            begins[label] = at + len(fixed)
+            fixed += values.astype(form).tobytes()
+            fixed += bytes(-len(fixed) % 4)
+    moving = [v for v in variables if dims[v[1][0]][1] == 0]
+    rows = []
+    for k in range(records):
+        for label, _, _, form, values in moving:
+            if k == 0:
+                begins[label] = at + len(fixed) + sum(map(len, rows))
+            part = np.asarray(values[k : k + 1]).astype(form).tobytes()
+            rows.append(part + (bytes(-len(part) % 4) if len(moving) > 1 else b""))
+    return head([begins[v[0]] for v in variables]) + fixed + b"".join(rows)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_netcdf(spark, tmp_path, wide):
+    t, lat, lon = np.arange(5) * 6.0, np.array([10.5, 11.5]), np.array([1, 2, 3])
+    rain, code = np.arange(30.0).reshape(5, 2, 3) / 4, np.arange(30).reshape(5, 2, 3) - 7
+    dims = [("time", 0), ("lat", 2), ("lon", 3)]
+    variables = [("lat", [1], 5, ">f4", lat), ("lon", [2], 4, ">i4", lon), ("time", [0], 6, ">f8", t), ("rain", [0, 1, 2], 6, ">f8", rain), ("code", [0, 1, 2], 3, ">i2", code), ("mask", [1, 2], 1, ">i1", np.arange(6).reshape(2, 3))]
+    path = str(tmp_path / "grid.nc")
+    (tmp_path / "grid.nc").write_bytes(classic(dims, variables, 5, wide))
+    got = read_netcdf(spark, path, ["rain", "code"], rows_per_task=12)
+    assert got.columns == ["time", "lat", "lon", "rain", "code"] and got.rdd.getNumPartitions() == 3
+    want = sorted((t[i], lat[j], lon[k], rain[i, j, k], code[i, j, k]) for i in range(5) for j in range(2) for k in range(3))
+    assert sorted(map(tuple, got.collect())) == want
+    assert [r["mask"] for r in read_netcdf(spark, path, ["mask"]).orderBy("lat", "lon").collect()] == list(range(6))
+    with pytest.raises(KeyError):
+        read_netcdf(spark, path, ["snow"])
+    with pytest.raises(ValueError):
+        read_netcdf(spark, path, ["rain", "mask"])
+    (tmp_path / "one.nc").write_bytes(classic([("n", 0)], [("x", [0], 3, ">i2", np.arange(7))], 7))
+    assert [r["x"] for r in read_netcdf(spark, str(tmp_path / "one.nc"), ["x"]).orderBy("n").collect()] == list(range(7))
+
+
 def test_tables_and_store(spark, tmp_path):
     df = spark.range(1000).selectExpr("id", "id % 7 as k", "string(id) as name")
     df.write.csv(str(tmp_path / "t.csv"), header=True)
