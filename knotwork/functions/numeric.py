@@ -28,6 +28,12 @@ def nan_to_null(df: DataFrame, skip: Iterable[str] = ()) -> DataFrame:
     )
 
 
+def known_cells(df: DataFrame, columns: Iterable[str]) -> Column:
+    """How many of the columns are known in a row: neither NULL nor NaN."""
+    one = lambda c: known(F.col(f"`{c}`"), df).isNotNull().cast("int")
+    return sum((one(c) for c in columns), F.lit(0))
+
+
 def ieee_div(a: Column, b: Column) -> Column:
     """a / b as IEEE doubles, with 0/0 unknown: x/0 is an infinity of x's sign, never an error."""
     a, b = a.cast("double"), b.cast("double")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import great_circle_dist
+from ..functions.numeric import known_cells
 from ..functions.sets import cp_intersection_strength, cp_node_intersection, hypergeometric_p_value
 from ..functions.vectors import dot, whiten
 from ..graph import Graph
@@ -722,6 +723,13 @@ def r_counts(spark: SparkSession, sf: str) -> DataFrame:
     return Graph(_table(spark, sf, "layer_nodes"), _table(spark, sf, "layer_edges"), node_id="v_n").r
 
 
+@query("""SELECT s, t, arrived, CAST(type IS NOT NULL AS INT) + CAST(weight IS NOT NULL AND NOT isnan(weight) AS INT) AS n_known FROM layer_edges""")
+def row_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many relations of each edge are known."""
+    e = _table(spark, sf, "layer_edges")
+    return e.select("s", "t", "arrived", known_cells(e, ["type", "weight"]).alias("n_known"))
+
+
 # --- tables behind plots ---
 
 

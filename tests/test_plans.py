@@ -93,3 +93,31 @@ def test_shared_folder_follows_the_session():
     for master in ("yarn", "local-cluster[3,2,3000]", "spark://host:7077"):
         with pytest.raises(RuntimeError):
             shared_dir(session(None, master))
+
+
+def test_nothing_is_left_over(tmp_path):
+    """A program that is through leaves no intermediate table in the shared folder."""
+    import os
+    import subprocess
+    import sys
+
+    folder, root = tmp_path / "shared", os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder.mkdir()
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import functions as F
+from knotwork import Graph, build_session
+from knotwork.session import sweep
+spark = build_session(master="local[2]", **{{"spark.checkpoint.dir": "file://{folder}", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}})
+g = Graph(spark.range(50).select("id", (F.col("id") % 7).alias("k")), order_by="k").create_edges_ft(("id", 1)).append_cp()
+assert g.v.count() == 50
+import glob
+assert glob.glob({str(folder)!r} + "/knotwork-*")
+if "early" in sys.argv:
+    sweep()
+    assert not glob.glob({str(folder)!r} + "/knotwork-*")
+"""
+    for more in ([], ["early"]):
+        subprocess.run([sys.executable, "-c", code, *more], check=True, timeout=300, capture_output=True)
+        assert list(folder.iterdir()) == []
