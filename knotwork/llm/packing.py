@@ -269,18 +269,14 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
     @F.pandas_udf("bigint")
     def container(size: pd.Series, rank: pd.Series) -> pd.Series:
         base, start, first, each = plan.value
-        out = pd.Series(pd.NA, index=size.index, dtype="Int64")
-        some = (size > 0).to_numpy()
-        if some.any():
-            key = base[size.to_numpy()[some]] + rank.to_numpy()[some]
-            at = np.searchsorted(start, key, side="right") - 1
-            out[some] = first[at] + (key - start[at]) // each[at]
-        return out
+        key = base[size.to_numpy()] + rank.to_numpy()
+        at = np.searchsorted(start, key, side="right") - 1
+        return pd.Series(first[at] + (key - start[at]) // each[at])
 
     # items of one length rank in the order of a hash as an unsigned number, whose top bits give the part that one task ranks
     bits = max(0, math.ceil(math.log2(max(histogram.values(), default=1) / RANK_ROWS)))
     h = F.xxhash64(id_col, "piece")
-    placed = cut.withColumn("__h", h.bitwiseXOR(F.lit(_FLIP))).withColumn("__part", F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("bigint"))
+    placed = cut.where("size > 0").withColumn("__h", h.bitwiseXOR(F.lit(_FLIP))).withColumn("__part", F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("bigint"))
     placed = placed.withColumn("__in", F.row_number().over(W.partitionBy("size", "__part").orderBy("__h", id_col, "piece")) - 1)
     if bits:
         before = placed.groupBy("size", "__part").agg(F.count(F.lit(1)).alias("__c"))
@@ -288,7 +284,8 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
         placed = placed.join(before, ["size", "__part"])
     else:
         placed = placed.withColumn("__before", F.lit(0))
-    return placed.select(id_col, "piece", "n_pieces", "start", "size", container("size", F.col("__before") + F.col("__in")).alias("container"))
+    placed = placed.select(id_col, "piece", "n_pieces", "start", "size", container("size", F.col("__before") + F.col("__in")).alias("container"))
+    return placed.unionByName(cut.where("size = 0").withColumn("container", F.lit(None).cast("bigint")))  # these aren't ranked, however many there are
 
 
 def containers(packed: DataFrame, capacity: int) -> DataFrame:

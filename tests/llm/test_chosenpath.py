@@ -67,6 +67,17 @@ def test_copies_are_joined_once(spark):
     assert found.members.groupBy("rep").count().orderBy("rep").collect()[0]["count"] == 3000
 
 
+def test_copies_are_met_in_blocks(spark, monkeypatch):
+    """One set is held by most records: its pairs with each other and with a like set are spelled out block by block."""
+    from knotwork.operators import skew
+
+    monkeypatch.setattr(skew.Crowded.of, "__defaults__", (20,))
+    data = [(k, [1, 2, 3, 4, 5, 6]) for k in range(90)] + [(500 + k, [1, 2, 3, 4, 5, 7]) for k in range(3)] + [(700, [9, 8])]
+    got = similar_sets(spark.createDataFrame(data, "id bigint, ids array<bigint>"), "id", "ids", 0.6).pairs()
+    assert "__part" in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == {(a, b) for a in [*range(90), 500, 501, 502] for b in [*range(90), 500, 501, 502] if a < b}
+
+
 def test_min_size_and_empty(spark):
     df = spark.createDataFrame([(1, [1, 2]), (2, [1, 2]), (3, [1, 2, 3]), (4, [1, 2, 3])], "id bigint, ids array<bigint>")
     assert {tuple(r) for r in similar_sets(df, "id", "ids", 0.9, min_size=3).pairs().collect()} == {(3, 4)}

@@ -107,3 +107,12 @@ def test_found_documents_are_read_from_the_containers(spark):
         pytest.skip("no tables")
     text = p6_found(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "container(" in text and "row_number" in text
+
+
+def test_empty_items_are_not_ranked(spark):
+    """A third of all items are empty: they have no container, and no task gathers them to number them."""
+    df = spark.range(900).selectExpr("id", "if(id % 3 = 0, 0, id % 50 + 1) as n")
+    out = pack(df, "id", "n", 64)
+    assert out.where("container is null").count() == 300 == out.where("size = 0").count() and out.count() == 900
+    window = out._jdf.queryExecution().optimizedPlan().toString().split("row_number")[1]
+    assert "(size" in window and "> 0)" in window
