@@ -120,4 +120,4 @@ if "early" in sys.argv:
 """
     for more in ([], ["early"]):
         subprocess.run([sys.executable, "-c", code, *more], check=True, timeout=300, capture_output=True)
-        assert list(folder.iterdir()) == []
+        assert not list(folder.glob("knotwork-*"))  # Spark keeps a folder of its own there
