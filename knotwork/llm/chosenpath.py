@@ -25,8 +25,9 @@ from ..session import discard, materialize, materialize_seen
 #: Chosen tokens expected per record and node. With 3 a pair at a threshold of 0.6 outlives every further level with a probability of 0.74, so 7
 #: trees do; fewer branches need more trees, more need more rows a level.
 BRANCHING = 3.0
-#: Nodes up to this size are compared record by record: beyond it one more level costs less than the comparisons it saves.
-NODE_ROWS = 1024
+#: Nodes up to this size are compared record by record. A comparison takes some nanoseconds and a row of one more level some microseconds, of which there
+#: would be three for each: beyond a few thousand rows the level costs less than the comparisons it saves.
+NODE_ROWS = 4096
 #: Levels of splitting; nodes that are still large are compared block by block. Only decides where the work is done.
 MAX_DEPTH = 5
 #: Sets with more tokens carry all 1,024 parity bits; below it 128 of them tell unlike sets apart.
