@@ -288,17 +288,36 @@ _THERE = "ɡɑÐƉПГфасеорхуіјѕһԁԛԝАВЕКМНОРСТУХІЈ
 _HERE = "gaĐĐΠΓφaceopxyijshdqwABEKMHOPCTYXIJSkABEZHIKMNOPTYXaivopukyëËïÏèÈáíóúÁÉÍÓÝïüÏŸμ"
 
 
+_BLANK = "[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+_GONE = "[\\x{AD}\\x{34F}\\x{61C}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{3164}\\x{FE00}-\\x{FE0F}\\x{FEFF}\\x{FFA0}\\x{FFF0}-\\x{FFF8}\\x{E0000}-\\x{E0FFF}]"
+#: Fixed values, for the SQL: joined letters and their parts; then signs that only the full form takes apart.
+_JOINED = (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"))
+_SIGNS = (("¨", " \u0308"), ("¯", " \u0304"), ("´", " \u0301"), ("¸", " \u0327"), ("˜", " \u0303"), ("¼", "1⁄4"), ("½", "1⁄2"), ("¾", "3⁄4"), ("…", "..."), ("™", "tm"), ("№", "no"))
+
+
+def _mapped_sql(text: str, there: str, here: str, parts: tuple) -> str:
+    """Without invisible characters, composed, single characters mapped and others taken apart."""
+    quote = lambda s: s.replace("'", "''")
+    form = f"translate(nfc_normalize(regexp_replace({text}, '{_GONE}', '', 'g')), '{quote(there)}', '{quote(here)}')"
+    for joined, apart in parts:
+        form = f"replace({form}, '{joined}', '{apart}')"
+    return form
+
+
+def _spaced_sql(form: str) -> str:
+    return f"trim(regexp_replace(nfc_normalize({form}), '{_BLANK}', ' ', 'g'))"
+
+
 def _visual_sql(text: str) -> str:
     """The visual form in SQL, written on its own: compose, map single characters, take joined letters apart, compose again."""
-    there = _chr(range(0xFF01, 0xFF5F)) + _THERE + "‐‑⁃﹣"
-    here = _chr(range(0x21, 0x7F)) + _HERE + "----"
-    blank = "[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
-    gone = "[\\x{AD}\\x{34F}\\x{61C}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{3164}\\x{FE00}-\\x{FE0F}\\x{FEFF}\\x{FFA0}\\x{FFF0}-\\x{FFFB}\\x{E0000}-\\x{E0FFF}]"
-    quote = lambda s: s.replace("'", "''")
-    form = f"translate(nfc_normalize(regexp_replace({text}, '{gone}', '', 'g')), '{quote(there)}', '{quote(here)}')"
-    for joined, parts in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("Ή", "H" + chr(0x301))):
-        form = f"replace({form}, '{joined}', '{parts}')"
-    return f"trim(regexp_replace(nfc_normalize({form}), '{blank}', ' ', 'g'))"
+    there, here = _chr(range(0xFF01, 0xFF5F)) + _THERE + "‐‑⁃﹣", _chr(range(0x21, 0x7F)) + _HERE + "----"
+    return _spaced_sql(_mapped_sql(text, there, here, (*_JOINED, ("Ή", "H\u0301"))))
+
+
+def _full_sql(text: str) -> str:
+    """The full form in SQL, for the characters of the scripts in the data: signs taken apart as well, and case folded."""
+    there, here = _chr(range(0xFF01, 0xFF5F)) + "ªº²³¹µ‑", _chr(range(0x21, 0x7F)) + "ao231μ‐"
+    return _spaced_sql(f"replace(translate(lower({_mapped_sql(text, there, here, _JOINED + _SIGNS)}), 'ς', 'σ'), 'ß', 'ss')")
 
 
 SQL = {
@@ -331,6 +350,7 @@ SQL = {
       HAVING coalesce(sum(n), 0) * max_repeats < target_share * (SELECT sum(n) FROM d)""",
     "p8_found": f"""WITH f AS (SELECT doc_id, text, {_visual_sql("text")} AS form FROM documents WHERE text <> '')
       SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
+    "p8_full_form": f"SELECT doc_id, {_full_sql('text')} AS form FROM documents",
     "p8_classes": f"""WITH f AS (SELECT doc_id, text, {_visual_sql("text")} AS form FROM documents WHERE text <> ''),
       c AS (SELECT form, min(doc_id) AS class_doc, count(*) AS n_docs, count(DISTINCT text) AS n_spellings FROM f GROUP BY form)
       SELECT doc_id, class_doc, n_docs, n_spellings FROM f JOIN c USING (form)""",
