@@ -305,8 +305,11 @@ def similar_sets(
     maybe, seen = materialize_seen(met.distinct(), "maybe", F.count(F.lit(1)).alias("n"))
     for table in spent:
         discard(table)
-    ls = reps.where("side = 0").select(F.col("rid").alias("a"), F.col("toks").alias("toks_a"))
-    rs = reps.where(f"side = {int(two)}").select(F.col("rid").alias("b"), F.col("toks").alias("toks_b"))
+    # only sets with a candidate have to travel
+    ends = maybe.select(F.col("a").alias("rid")).unionAll(maybe.select(F.col("b").alias("rid"))).distinct()
+    wanted = materialize(reps.select("side", "rid", "toks").join(ends, "rid", "left_semi"), "wanted")
+    ls = wanted.where("side = 0").select(F.col("rid").alias("a"), F.col("toks").alias("toks_a"))
+    rs = wanted.where(f"side = {int(two)}").select(F.col("rid").alias("b"), F.col("toks").alias("toks_b"))
     both = skew_join(skew_join(maybe, ls, "a", hot=hot_keys(maybe, "a", rows=seen["n"])), rs, "b", hot=hot_keys(maybe, "b", rows=seen["n"]))
     common = F.size(F.array_intersect("toks_a", "toks_b"))
     links = both.select("a", "b", common.alias("common"), (common / (F.size("toks_a") + F.size("toks_b") - common)).alias("similarity"))
