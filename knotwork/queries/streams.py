@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..streaming import stream_band_edges, stream_once, stream_partition
-from ..streaming.sessions import stream_clusters
+from ..streaming import stream_band_edges, stream_clusters, stream_once, stream_partition
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:

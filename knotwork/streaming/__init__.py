@@ -1,5 +1,6 @@
 """Graph operators over streams."""
 
 from .operators import stream_band_edges, stream_once, stream_partition
+from .sessions import stream_clusters
 
-__all__ = ["stream_band_edges", "stream_once", "stream_partition"]
+__all__ = ["stream_band_edges", "stream_clusters", "stream_once", "stream_partition"]
