@@ -92,7 +92,7 @@ class Hierarchy:
         names = [f"{a}{k}" for a in self.axes for k in (0, 1)]
         roots = F.array(*[F.struct(F.lit(n).cast("bigint").alias("n"), *[F.lit(float(v)).alias(c) for c, v in zip(names, b)]) for n, *b in self.roots])
         shown = at.columns
-        at = at.withColumn("__node", F.explode(F.transform(F.filter(roots, lambda r: meets(lambda c: r[c])), lambda r: r["n"])))
+        at = at.withColumn("__root", F.explode(roots)).where(meets(lambda c: F.col("__root")[c])).select(*shown, F.col("__root")["n"].alias("__node"))
         join = lambda nodes: nodes.join(at, "__node").drop("__node") if sent_whole(nodes) else block_join(nodes, at, ["__node"], key)
         for level in reversed(self.levels):
             down = level.select(F.col("__node").alias("__down"), F.col("__up").alias("__node"), *names)
@@ -115,6 +115,12 @@ def build_region_index(regions: DataFrame, region_id: str, lats: str, lons: str)
     return RegionIndex(region_id, Hierarchy.of(tris, ("x", "y"), ["__m", region_id, "ax", "ay", "bx", "by"], LEAF))
 
 
+def _not_right(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
+    """Whether p may lie to the left of a-b or on it: false only where doubles can't err."""
+    p, q = (bx - ax) * (py - ay), (by - ay) * (px - ax)
+    return p - q >= -(1e-14 * (F.abs(p) + F.abs(q)) + 1e-18)
+
+
 def _orient(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
     """Sign of the turn a-b-p: by doubles where they can't err, else by decimals exact to 11 places of a degree."""
     p, q = (bx - ax) * (py - ay), (by - ay) * (px - ax)
@@ -143,10 +149,13 @@ def region_of(points: DataFrame, point_id: str, lat: str, lon: str, index: Regio
         at = at.withColumn("__x", F.explode(F.array(F.col("__x"), F.col("__x") + 360)))
     near = tree.met_by(at, "__p", {"x": (F.col("__x"), F.col("__x")), "y": (F.col("__y"), F.col("__y"))})
     c = F.col
-    side = lambda p, q: _orient(c(f"{p}x"), c(f"{p}y"), c(f"{q}x"), c(f"{q}y"), c("__x"), c("__y"))
-    near = near.select("__p", rid, side("a", "b").alias("__ab"), side("b", "c").alias("__bc"), side("c", "a").alias("__ca"), "rim_ab", "rim_bc", "rim_ca")
-    near = near.where("__ab >= 0 and __bc >= 0 and __ca >= 0")
-    on_rim = (c("rim_ab") & (c("__ab") == 0)) | (c("rim_bc") & (c("__bc") == 0)) | (c("rim_ca") & (c("__ca") == 0))
+    ends = [("a", "b"), ("b", "c"), ("c", "a")]
+    # most triangles of a leaf are surely missed, which doubles tell; the exact test is one piece of code for all three sides, small enough to be compiled
+    near = near.where(reduce(Column.__and__, [_not_right(c(f"{p}x"), c(f"{p}y"), c(f"{q}x"), c(f"{q}y"), c("__x"), c("__y")) for p, q in ends]))
+    sides = F.array(*[F.struct(c(f"{p}x").alias("px"), c(f"{p}y").alias("py"), c(f"{q}x").alias("qx"), c(f"{q}y").alias("qy"), c(f"rim_{p}{q}").alias("rim")) for p, q in ends])
+    turn = lambda s: F.struct(_orient(s["px"], s["py"], s["qx"], s["qy"], c("__x"), c("__y")).alias("turn"), s["rim"].alias("rim"))
+    near = near.select("__p", rid, F.transform(sides, turn).alias("__s")).where(F.forall("__s", lambda s: s["turn"] >= 0))
+    on_rim = F.exists("__s", lambda s: s["rim"] & (s["turn"] == 0))
     held = near.groupBy("__p", rid).agg(F.max(on_rim).alias("__rim"))
     per_point = held.groupBy("__p").agg(F.collect_list(F.when(~c("__rim"), c(rid))).alias("__in"), F.min(rid).alias("__low"))  # the few regions around a point
     return per_point.select(c("__p").alias(point_id), F.explode(F.when(F.size("__in") > 0, c("__in")).otherwise(F.array("__low"))).alias(rid))
