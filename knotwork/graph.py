@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql.group import GroupedData
 from .functions.numeric import nan_to_null, value_in
 from .functions.vectors import ordinal_ranks, whiten
 from .operators import components, export, labels, linkage, plotdata, recipes
-from .operators.band import band_edges, band_spec
+from .operators.band import band_maker, band_spec
 from .operators.matrix import dot_pairs
 from .operators.pairs import all_pair_edges
 from .operators.partition import as_list, group_quantiles, known_groups, super_table, with_end_features
@@ -55,6 +55,7 @@ class Graph:
             for name, by in (superedge_labels_by or {}).items():
                 e = labels.with_codes(e, as_list(by), name)
         self._e = e
+        self._ends: Callable[..., DataFrame] | None = None  # makes the edges anew with features of their ends, if they were made from these nodes
 
     # --- tables and sizes ---
 
@@ -109,6 +110,7 @@ class Graph:
         new._positioned = self._positioned if v is None else {}
         new._v = self._v if v is None else v
         new._e = e if e is not None else (self._e if keep_edges else None)
+        new._ends = self._ends if v is None and e is None and keep_edges else None
         return new
 
     def positioned(self, *first: str) -> DataFrame:
@@ -187,8 +189,12 @@ class Graph:
             v = self._placed([column])[0] if from_pos or to_pos is not None else self.v
         if to_pos is not None and not 0 <= from_pos < to_pos:
             raise AssertionError("0 <= from_pos < to_pos is required")
-        e = band_edges(v, self.node_id, self.source, self.target, ft_feature, connectors, selectors, transfer_features, r_dtype_dic, no_transfer_rs, from_pos, to_pos, on, self.order_by, noted)
-        return self._with(e=log_step("create_edges_ft", e, noted, verbose, logfile) if noted else e)
+        make = band_maker(v, self.node_id, self.source, self.target, ft_feature, connectors, selectors, transfer_features, r_dtype_dic, no_transfer_rs, from_pos, to_pos, on, self.order_by, noted)
+        if noted:
+            return self._with(e=log_step("create_edges_ft", make(), noted, verbose, logfile))
+        new = self._with(e=make())
+        new._ends = make
+        return new
 
     def create_correlation_edges(self, vector: str, threshold: float, relation: str = "corr", method: str = "pearson") -> Graph:
         """Edges between nodes whose vectors correlate by at least ``threshold`` in size, by blocks of matrix products.
@@ -233,7 +239,12 @@ class Graph:
         of a job. ``sort`` puts the groups in the order of their keys.
         """
         sf, tf = as_list(source_features), as_list(target_features)
-        e = with_end_features(self.e, self.v, self.node_id, self.source, self.target, sf, tf, reuse, validate)
+        wanted = list(dict.fromkeys([*sf, *tf]))
+        if self._ends and wanted and not (reuse or validate) and set(wanted) <= set(self._v.columns):  # the rows that are joined have the features at hand
+            given = [*[f"{f}_s" for f in sf], *[f"{f}_t" for f in tf]]
+            e = self._ends(wanted).select(*[F.col(f"`{c}`") for c in self.e.columns if c not in given], *[F.col(f"`__{c}`").alias(c) for c in given])
+        else:
+            e = with_end_features(self.e, self.v, self.node_id, self.source, self.target, sf, tf, reuse, validate)
         keys = [*as_list(relations), *[f"{f}_s" for f in sf], *[f"{f}_t" for f in tf]]
         if not keys:
             raise ValueError("group by a relation, or by a feature of an end")

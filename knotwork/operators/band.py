@@ -7,7 +7,7 @@ lies in one, so the pairs come from an equi-join on the bucket and each candidat
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..plans.pairfunctions import BAND_OUTPUT, PairFunction, as_functions, check_outputs, schedule
 from .pairs import _names, apply_functions, finish, needed_features
-from .skew import block_join
+from .skew import Crowded, block_join
 
 #: Microseconds in each unit of time.
 UNIT_US = {"D": 86_400_000_000, "h": 3_600_000_000, "m": 60_000_000, "s": 1_000_000, "ms": 1_000, "us": 1, "ns": 0.001}
@@ -60,7 +60,7 @@ def buckets_ahead(b: Column, whole: bool) -> Column:
     return near if whole else F.when(F.abs(F.greatest(b, F.lit(-(1 << 62)))) > 1 << 40, F.array(b, ahead(1), ahead(2))).otherwise(near)
 
 
-def band_edges(
+def band_maker(
     v: DataFrame,
     node_id: str,
     source: str,
@@ -76,8 +76,8 @@ def band_edges(
     on: str | Sequence[str] | None = None,
     order_by: Sequence[str] = (),
     seen: Observation | None = None,
-) -> DataFrame:
-    """The edges of ``create_edges_ft``. ``seen`` notes the pairs within the band, before any selector.
+) -> Callable[..., DataFrame]:
+    """What makes the edges of ``create_edges_ft``; called with names of features, it adds those of both ends as ``__f_s`` and ``__f_t``. ``seen`` notes the pairs within the band, before any selector.
 
     Each pair i < j, in the order of the band feature, then of ``order_by``, with value_j - value_i <= threshold; its distance
     is ``ft_r``. Nodes with an unknown value have no edges. ``on`` adds keys that must be equal. ``from_pos`` and ``to_pos``
@@ -90,7 +90,8 @@ def band_edges(
     dtypes, transfer, drop = dict(r_dtype_dic or {}), _names(transfer_features), _names(no_transfer_rs)
     check_outputs([*con, *sel], dtypes, [BAND_OUTPUT])
     order = schedule(sel, con, [BAND_OUTPUT])
-    features = needed_features(order, transfer, [c for c in v.columns if c != "__pos"])
+    columns = [c for c in v.columns if c != "__pos"]
+    features = needed_features(order, transfer, columns)
     keys = _names(on)
     whole = unit is not None or isinstance(v.schema[ft_feature[0]].dataType, T.IntegralType)
     if whole:
@@ -100,18 +101,26 @@ def band_edges(
     at = v.withColumn("__x", x).where("__x is not null").withColumn("__b", bucket)
     renamed = {f"__k{i}": F.col(k) for i, k in enumerate(keys)}
     rank = F.col("__pos") if "__pos" in v.columns else F.struct(*order_by, node_id)
-    cols = lambda end: [F.col(node_id).alias(f"__id_{end}"), rank.alias(f"__rank_{end}"), F.col("__x").alias(f"__x_{end}"), *[F.col(f).alias(f"{f}_{end}") for f in features], *[c.alias(n) for n, c in renamed.items()]]
+    cols = lambda end, of: [F.col(node_id).alias(f"__id_{end}"), rank.alias(f"__rank_{end}"), F.col("__x").alias(f"__x_{end}"), *[F.col(f).alias(f"{f}_{end}") for f in of], *[c.alias(n) for n, c in renamed.items()]]
     sources = at.where((F.col("__pos") >= from_pos) & (F.col("__pos") < to_pos)) if to_pos is not None else at.where(F.col("__pos") >= from_pos) if from_pos else at
     looks = F.explode(buckets_ahead(F.col("__b"), whole)) if threshold > 0 else F.col("__b")
-    left, right = sources.select(*cols("s"), looks.alias("__b")), at.select(*cols("t"), "__b")
-    gap = F.try_subtract("__x_t", "__x_s")  # beyond all numbers is beyond the threshold
-    xs, xt = F.col("__x_s"), F.col("__x_t")
-    ahead = (xs < xt) | ((xs == xt) & (F.col("__rank_s") < F.col("__rank_t")))
-    pairs = block_join(left, right, ["__b", *renamed], "__id_t").where(ahead & (gap <= threshold)).drop("__rank_s", "__rank_t")
-    if seen is not None:
-        pairs = pairs.observe(seen, F.count(F.lit(1)).alias("pairs"))
-    # both sides as named inputs, the distance in the unit the caller chose
-    pairs = pairs.withColumn(BAND_OUTPUT, gap.cast("double") / unit if unit else gap)
-    ft = {"ft_feature_s": F.col("__x_s"), "ft_feature_t": F.col("__x_t"), "ftt": F.lit(threshold)}
-    pairs = apply_functions(pairs, order, ft, threshold)
-    return finish(pairs, source, target, [BAND_OUTPUT, *[o for f in order for o in f.outputs]], transfer, dtypes, drop)
+    crowded = Crowded.of(at.select("__b", *[c.alias(n) for n, c in renamed.items()]), ["__b", *renamed])
+
+    def make(more: Sequence[str] = ()) -> DataFrame:
+        of = [c for c in columns if c in features or c in more]
+        left, right = sources.select(*cols("s", of), looks.alias("__b")), at.select(*cols("t", of), "__b")
+        gap = F.try_subtract("__x_t", "__x_s")  # beyond all numbers is beyond the threshold
+        xs, xt = F.col("__x_s"), F.col("__x_t")
+        ahead = (xs < xt) | ((xs == xt) & (F.col("__rank_s") < F.col("__rank_t")))
+        pairs = block_join(left, right, ["__b", *renamed], "__id_t", crowded=crowded).where(ahead & (gap <= threshold)).drop("__rank_s", "__rank_t")
+        if seen is not None:
+            pairs = pairs.observe(seen, F.count(F.lit(1)).alias("pairs"))
+        ends = {f"__{f}_{end}": F.when(F.col(f"__id_{end}").isNotNull(), F.col(f"`{f}_{end}`")) for f in more for end in "st"}  # no id, no node
+        pairs = pairs.withColumns(ends)
+        # both sides as named inputs, the distance in the unit the caller chose
+        pairs = pairs.withColumn(BAND_OUTPUT, gap.cast("double") / unit if unit else gap)
+        ft = {"ft_feature_s": F.col("__x_s"), "ft_feature_t": F.col("__x_t"), "ftt": F.lit(threshold)}
+        pairs = apply_functions(pairs, order, ft, threshold)
+        return finish(pairs, source, target, [BAND_OUTPUT, *[o for f in order for o in f.outputs]], transfer, dtypes, drop, list(ends))
+
+    return make

@@ -141,12 +141,12 @@ def needed_features(functions: Sequence[PairFunction], transfer: Sequence[str],
     return [c for c in columns if c in wanted]
 
 
-def finish(pairs: DataFrame, source: str, target: str, relations: Sequence[str], transfer: Sequence[str], dtypes: Mapping[str, object], drop: Sequence[str]) -> DataFrame:
-    """The edge table: ids, relations (cast, unless dropped) and transferred features."""
+def finish(pairs: DataFrame, source: str, target: str, relations: Sequence[str], transfer: Sequence[str], dtypes: Mapping[str, object], drop: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
+    """The edge table: ids, relations (cast, unless dropped), transferred features and the columns ``also`` as they are."""
     cast = lambda n: F.col(f"`{n}`").cast(sql_type(dtypes[n])).alias(n) if n in dtypes else F.col(f"`{n}`")
     kept = [cast(r) for r in relations if r not in drop]
     moved = [F.col(f"{f}_{end}") for f in transfer for end in "st"]
-    return pairs.select(F.col("__id_s").alias(source), F.col("__id_t").alias(target), *kept, *moved)
+    return pairs.select(F.col("__id_s").alias(source), F.col("__id_t").alias(target), *kept, *moved, *[F.col(f"`{c}`") for c in also])
 
 
 def all_pair_edges(
