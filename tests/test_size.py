@@ -1,8 +1,10 @@
 """What is kept small on large tables, and that the rows stay the same."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from knotwork import Graph, connector, selector
+from knotwork.operators import overlap
 
 
 def _nodes(spark, n=400):
@@ -32,3 +34,22 @@ def test_features_of_both_ends_come_from_the_joined_rows(spark, rows):
     assert rows(g._with(v=changed.v).partition_graph("kind")[1], "n_edges") == rows(changed.partition_graph("kind")[1], "n_edges")
     kept = g.filter_by_interval_e("gap", (1, 1))
     assert rows(kept.partition_graph("kind")[1], "kind_s", "kind_t", "n_edges") == rows(Graph(kept.v, kept.e).partition_graph("kind")[1], "kind_s", "kind_t", "n_edges")
+
+
+def test_pairs_of_sets_by_blocks(spark, rows, monkeypatch):
+    sets = {k: {x * x * k % 61 for x in range(k % 9)} for k in range(-3, 40)} | {1 << 40: {1, 2, -5}, 77: set()}
+    items = spark.createDataFrame([(k, x) for k, xs in sets.items() for x in xs or {None}] * 2 + [(None, 3), (1 << 40, None)], "name bigint, x int")
+    names = sorted(sets)
+    want = [(s, t, len(sets[s]), len(sets[t]), len(sets[s] & sets[t])) for a, s in enumerate(names) for t in names[a + 1 :]]
+    for elements, strip in ((6_000_000, 1 << 19), (20, 7)):
+        monkeypatch.setattr(overlap, "BLOCK_ELEMENTS", elements)
+        monkeypatch.setattr(overlap, "STRIP", strip)
+        pairs = overlap.set_pairs(items, "name", "x")
+        assert rows(pairs, *pairs.columns) == sorted(want, key=repr)
+        assert _joins(pairs) == 0  # no pair is moved to meet its count
+        assert rows(overlap.set_pairs(items, "name", "x", met_only=True), *pairs.columns) == sorted((w for w in want if w[4]), key=repr)
+    wide = items.withColumn("x", F.col("x") + (1 << 40))
+    assert rows(overlap.set_pairs(wide, "name", "x"), *pairs.columns) == sorted(want, key=repr)
+    with pytest.raises(TypeError):
+        overlap.set_pairs(items.withColumn("x", F.col("x").cast("string")), "name", "x")
+    assert overlap.set_pairs(items.where("false"), "name", "x").isEmpty()
