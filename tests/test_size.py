@@ -1,10 +1,14 @@
 """What is kept small on large tables, and that the rows stay the same."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from knotwork import Graph, connector, selector
 from knotwork.operators import overlap
+from knotwork.queries import graphs
+from knotwork.session import CLEANUP, materialize
 
 
 def _nodes(spark, n=400):
@@ -53,3 +57,26 @@ def test_pairs_of_sets_by_blocks(spark, rows, monkeypatch):
     with pytest.raises(TypeError):
         overlap.set_pairs(items.withColumn("x", F.col("x").cast("string")), "name", "x")
     assert overlap.set_pairs(items.where("false"), "name", "x").isEmpty()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def files():
+        every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(every.size()) if (name := every.apply(k).getName()).startswith("shuffle_")}
+
+    before = files()
+    table = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "count"))
+    until = time.time() + 20
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and table.count() == 7
+    assert spark.conf.get(CLEANUP) == "false"  # what others run is as before
+
+
+def test_linkage_of_suppliers_reads_the_pairs_that_met(spark, tmp_path, rows):
+    lines = [(s, p) for s in range(40) for p in {s % 4 * 10 + s * k % 7 for k in range(5)}]
+    spark.createDataFrame(lines, "l_suppkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(42).select(F.col("id").alias("s_suppkey"), F.lit("n").alias("s_name")).write.parquet(f"{tmp_path}/supplier.parquet")
+    every = graphs.set_overlap(spark, str(tmp_path)).select("s", "t", "intsec_strength")
+    want = Graph(graphs.suppliers(spark, str(tmp_path)).v, every, node_id="s_suppkey").append_linkage("intsec_strength", at_most=10).v
+    assert rows(graphs.linkage_clusters(spark, str(tmp_path)), "s_suppkey", "cluster") == rows(want, "s_suppkey", "cluster")
