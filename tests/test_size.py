@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from knotwork import Graph, connector, selector
-from knotwork.operators import overlap
+from knotwork.operators import band, overlap
 from knotwork.queries import graphs
 from knotwork.session import CLEANUP, materialize
 
@@ -80,3 +80,21 @@ def test_linkage_of_suppliers_reads_the_pairs_that_met(spark, tmp_path, rows):
     every = graphs.set_overlap(spark, str(tmp_path)).select("s", "t", "intsec_strength")
     want = Graph(graphs.suppliers(spark, str(tmp_path)).v, every, node_id="s_suppkey").append_linkage("intsec_strength", at_most=10).v
     assert rows(graphs.linkage_clusters(spark, str(tmp_path)), "s_suppkey", "cluster") == rows(want, "s_suppkey", "cluster")
+
+
+@pytest.mark.parametrize("even", [True, False])
+def test_band_rows_travel_once(spark, rows, monkeypatch, even):
+    monkeypatch.setattr(band, "MOST_ROWS", 100_000 if even else 3)
+    values = [None, float("nan"), -7.5, -1e13, -1e13 + 1, 1e13, 1e13 + 2, float("inf"), *[k * 0.75 for k in range(-40, 60)], *[3.0] * 9]
+    v = spark.createDataFrame([(k, x, k % 2) for k, x in enumerate(values)], "id bigint, x double, kind int")
+    known = sorted((x, k) for k, x in enumerate(values) if x is not None and x == x)
+    want = [(s, t) for a, (x, s) in enumerate(known) for y, t in known[a + 1 :] if y - x <= 2]
+    g = Graph(v).create_edges_ft(("x", 2))
+    assert rows(g.e, "s", "t") == sorted(want, key=repr)
+    assert rows(Graph(v).create_edges_ft(("x", 2), on="kind").e, "s", "t") == sorted(((s, t) for s, t in want if s % 2 == t % 2), key=repr)
+    big = spark.createDataFrame([(k, x) for k, x in enumerate([-(1 << 63), -(1 << 63) + 3, (1 << 63) - 4, (1 << 63) - 1, -1, 0, 4])], "id bigint, x bigint")
+    assert rows(Graph(big).create_edges_ft(("x", 4)).e, "s", "t") == [(0, 1), (2, 3), (4, 5), (5, 6)]
+    if even:
+        plan = g.e._jdf.queryExecution().executedPlan()
+        plan.execute().count()
+        assert "ReusedExchange" in plan.toString()  # both sides read the same rows
