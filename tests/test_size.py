@@ -98,3 +98,14 @@ def test_band_rows_travel_once(spark, rows, monkeypatch, even):
         plan = g.e._jdf.queryExecution().executedPlan()
         plan.execute().count()
         assert "ReusedExchange" in plan.toString()  # both sides read the same rows
+
+
+def test_sorted_by_its_first_column_needs_no_positions(spark, rows):
+    v = spark.range(60).select("id", (F.col("id") * 7 % 23).alias("x"), (-F.col("id")).alias("y"))
+    g = Graph(v, order_by="x")
+    e = g.create_edges_ft(("x", 2), require_sorted=True)
+    assert not g._positioned  # nothing was sorted and written
+    assert rows(e.e, "s", "t", "ft_r") == rows(g.create_edges_ft(("x", 2)).e, "s", "t", "ft_r")
+    with pytest.raises(AssertionError):
+        g.create_edges_ft(("y", 2), require_sorted=True)
+    assert rows(Graph(v).create_edges_ft(("x", 2), from_pos=3, to_pos=9).e, "s", "t") == rows(g.create_edges_ft(("x", 2), require_sorted=True, from_pos=3, to_pos=9).e, "s", "t")
